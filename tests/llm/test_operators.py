@@ -1,0 +1,447 @@
+"""Each operator against a plain reading of its contract, on small tables with the awkward cases."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+from granary.llm import common, components, decontam, digest_index, language, line_dedup, lpf_dedup, packing, pii, secret_scan, simhash, suffix, toxicity
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+WORDS = [a + b for a in ("ba", "do", "ri", "ke", "lu", "é") for b in ("n", "st", "mo", "x")]
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) for _ in range(n))
+
+
+def awkward(rng):
+    """Nulls, empties, repeats, copies, a very long text."""
+    passage = prose(rng, 120)
+    texts = [None, "", None, "  \n\n", "ü", passage, passage, prose(rng, 200) + passage + prose(rng, 50), passage[:300], passage[5:] + "!"]
+    texts += [prose(rng, rng.randint(1, 300)) for _ in range(10)]
+    texts.append(prose(rng, 5000) + passage + prose(rng, 5000))
+    rows = list(enumerate(texts))
+    rows += [(3, texts[3]), (7, texts[7])]  # rows repeated as a whole
+    return rows + [(None, passage), (None, None)]
+
+
+def raw(t):
+    return (t or "").encode()
+
+
+def by_id(df, *cols):
+    return sorted((tuple(r[c] for c in ("doc_id", *cols)) for r in df.collect()), key=str)
+
+
+# suffix order and longest previous factors
+
+
+def naive(buf, starts, cap):
+    def lcp(i, j):
+        n = 0
+        while n < cap and buf[i + n] == buf[j + n]:
+            n += 1
+        return n
+
+    return [max((lcp(i, j) for j in starts if j < i), default=0) for i in starts], [max((lcp(i, j) for j in starts if j > i), default=0) for i in starts]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.binary(min_size=40, max_size=160).map(lambda b: bytes(x % 3 for x in b)), st.integers(8, 39))
+def test_factors(data, cap):
+    buf = np.frombuffer(data + bytes(8), np.uint8)
+    starts = np.arange(len(data) - cap + 1)
+    before, after = suffix.factors(buf, starts, cap)
+    assert (before.tolist(), after.tolist()) == naive(data, starts.tolist(), cap)
+
+
+def test_previous_smaller():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 5, 200):
+        x = rng.permutation(n)
+        want = [max((j for j in range(i) if x[j] < x[i]), default=-1) for i in range(n)]
+        assert suffix.previous_smaller(x).tolist() == want
+
+
+@pytest.mark.parametrize("hot", [1024, 1])
+def test_repeats(docs, hot):
+    rng = random.Random(5)
+    rows = awkward(rng) + [(100 + k, "ab" * 700) for k in range(2)] + [(110, "x" * 401), (111, "y" * 400), (112, "z" * 399)]
+    rows += [(200 + k, prose(rng, 30) + rows[5][1] + prose(rng, 30)) for k in range(12)]
+    got = by_id(lpf_dedup.removed(docs(rows), hot=hot), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    truth = lpf_dedup.brute({k: raw(t) for k, (_, t) in enumerate(rows)})
+    assert got == sorted(((d, *truth[k]) for k, (d, _) in enumerate(rows)), key=str)
+
+
+def test_repeats_over_slices(docs, monkeypatch):
+    rng = random.Random(6)
+    monkeypatch.setattr(lpf_dedup, "SLICE", 1500)
+    rows = awkward(rng)
+    got = by_id(lpf_dedup.removed(docs(rows)), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    truth = lpf_dedup.brute({k: raw(t) for k, (_, t) in enumerate(rows)})
+    assert got == sorted(((d, *truth[k]) for k, (d, _) in enumerate(rows)), key=str)
+
+
+@pytest.mark.parametrize("hot", [1024, 1])
+def test_repeats_keep_first(docs, hot):
+    rng = random.Random(7)
+    a, b = prose(rng, 150), prose(rng, 150)
+    rows = [(4, a + b), (9, b), (2, b + prose(rng, 90)), (7, "q" * 900)]
+    got = {r.doc_id: (r.kept or b"").decode() for r in lpf_dedup.removed(docs(rows), keep="first", hot=hot, texts=True).collect()}
+    seen, kept = set(), {}
+    for d, t in sorted(rows):
+        cuts = []
+        for i in range(len(raw(t)) - 399):
+            s = raw(t)[i : i + 400]
+            if s in seen:
+                cuts.append((i, i + 400))
+            seen.add(s)
+        cuts, at, out = lpf_dedup.merged(cuts), 0, b""
+        for i, j in cuts:
+            out, at = out + raw(t)[at:i], j
+        kept[d] = (out + raw(t)[at:]).decode() if cuts else ""
+    assert got == kept
+
+
+# simhash
+
+
+def fingerprint(text):
+    import xxhash
+
+    words = text.lower().split() if text.isascii() else raw(text).lower().decode().split()
+    if not words:
+        return 0
+    shingles = [" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))]
+    bits = 0
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    for b in range(64):
+        bits |= (2 * sum(x >> b & 1 for x in hashes) > len(hashes)) << b
+    return bits
+
+
+def test_near_duplicates(docs):
+    rng = random.Random(8)
+    base = prose(rng, 400).split()
+    rows = awkward(rng)
+    for k in range(30):
+        words = list(base)
+        for _ in range(rng.randint(0, 6)):
+            words[rng.randrange(len(words))] = rng.choice(WORDS)
+        rows.append((300 + k, " ".join(words)))
+    got = by_id(simhash.digest(simhash.near_duplicates(docs(rows))), "fingerprint", "component_id")
+    prints = [fingerprint(t or "") for _, t in rows]
+    root = list(range(len(rows)))
+    for _ in rows:
+        for i, x in enumerate(prints):
+            root[i] = min(root[j] for j, y in enumerate(prints) if (x ^ y).bit_count() <= 3)
+    low = {}
+    for r, (d, _) in zip(root, rows, strict=True):
+        low[r] = min(low.get(r, 1 << 60), -1 if d is None else d)
+    want = [(d, f"{f:016x}", None if low[r] == -1 else low[r]) for (d, _), f, r in zip(rows, prints, root, strict=True)]
+    assert got == sorted(want, key=str)
+    assert len(set(root)) < len(set(prints)) + 1
+
+
+@pytest.mark.parametrize("block", [4096, 3])
+def test_covering_finds_all(spark, block):
+    rng = random.Random(9)
+    values = [rng.getrandbits(64) for _ in range(40)]
+    for v in list(values):
+        for _ in range(6):
+            values.append(v ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 4))))
+    values = list(dict.fromkeys(values))
+    signed = [v - (1 << 64) * (v >> 63) for v in values]
+    tree = simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), block)
+    roots = {r.node: r.root for r in components.components(tree).collect()}
+    want = {v: v for v in signed}
+    for _ in range(12):
+        want = {u: min(want[v] for v in signed if ((u ^ v) & (1 << 64) - 1).bit_count() <= 3) for u in signed}
+    assert {v: roots.get(v, v) for v in signed} == want
+
+
+def test_components(spark):
+    rng = random.Random(10)
+    links = [(k, k + 1) for k in range(0, 60)] + [(100, 100 + k) for k in range(1, 40)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "u long, v long")).collect()}
+    low = {x: x for e in links for x in e}
+    for _ in low:
+        for u, v in links:
+            low[u] = low[v] = min(low[u], low[v])
+    assert got == {x: r for x, r in low.items() if x != r}
+
+
+# languages
+
+
+def test_language(spark):
+    rng = random.Random(11)
+    kinds = {"aa": ["foo", "bar", "fab"], "bb": ["zux", "wyx", "xyz"]}
+    docs = spark.createDataFrame([(k, " ".join(rng.choices(kinds[x], k=40)), x) for k, x in enumerate(["aa", "bb"] * 5)] + [(99, None, "aa"), (98, "foo", None)], "doc_id long, text string, lang string")
+    page = lambda x, said, n: f'<html lang="{said}"><script>zux zux</script><p>{" ".join(rng.choices(kinds[x], k=n))}</p>'
+    rows = [(k, f"https://a.x.com/{k}", page("aa", "aa", 30)) for k in range(6)] + [(10 + k, f"https://b.x.org/{k}", page("bb", "bb", 30)) for k in range(6)]
+    rows += [(20, "https://a.x.com/e", '<html lang="aa">'), (21, None, None), (None, "https://b.x.org/", page("bb", "aa", 50)), (1, rows[1][1], rows[1][2])]
+    got = language.identified(spark.createDataFrame(rows, "page_id long, url string, html string"), docs).collect()
+    assert len(got) == len(rows)
+    lang = {(r.page_id, r.host): r.lang for r in got}
+    assert all(lang[k, "a.x.com"] == "aa" for k in (0, 1, 5, 20)) and all(lang[k, "b.x.org"] == "bb" for k in (10, None))
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert language.identified(empty, docs).count() == 0
+    assert [r.lang for r in language.identified(empty.union(spark.createDataFrame(rows[:1], empty.schema)), docs.limit(0)).collect()] == [None]
+
+
+# exact dedup
+
+
+def test_exact(docs, spark, tmp_path):
+    rows = awkward(random.Random(12))
+    got = by_id(digest_index.DigestIndex(spark).add(docs(rows)), "keep_id", "group_size", "kept", "text_sha256")
+    low = lambda d: common.NULL_ID if d is None else d
+    want = []
+    for d, t in rows:
+        same = [low(x) for x, y in rows if raw(y) == raw(t)]
+        keep = max(same)
+        want.append((d, None if keep == common.NULL_ID else keep, len(same), low(d) == keep, hashlib.sha256(raw(t)).hexdigest()))
+    assert got == sorted(want, key=str)
+
+
+def test_index_persists(docs, spark, tmp_path):
+    path = str(tmp_path / "index")
+    first = digest_index.DigestIndex(spark, path, 3)
+    assert [r.kept for r in first.add(docs([(1, "a"), (2, "a"), (3, "b")])).orderBy("doc_id").collect()] == [False, True, True]
+    again = digest_index.DigestIndex(spark, path, 3)
+    got = again.add(docs([(8, "a"), (9, "c"), (7, "c"), (0, "d")]))
+    assert by_id(got, "keep_id", "kept") == [(0, 0, True), (7, 9, False), (8, 2, False), (9, 9, True)]
+    assert again.entries().count() == 4
+
+
+# lines
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_lines(docs, spark, seed):
+    rng = random.Random(seed)
+    common_lines = ["  License of\tthis text ", "license OF\tthis text", "short", "ééééééééé", "éééééééééé", "", "x" * 60]
+    texts = ["\n".join(rng.choice([rng.choice(common_lines), prose(rng, 3), prose(rng, 1)]) for _ in range(rng.randint(1, 12))) for _ in range(60)]
+    rows = [(k, t) for k, t in enumerate([None, "", "\n\n", *texts])]
+    rng.shuffle(rows)
+    got = by_id(line_dedup.digest(line_dedup.applied(docs(rows))), "n_lines", "n_dropped", "kept_sha256")
+    want = line_dedup.brute({d: raw(t) for d, t in rows})
+    assert got == sorted(((d, *x) for d, x in want.items()), key=str)
+    assert sum(x[1] for x in want.values()) > 0
+
+
+def test_one_line_everywhere(docs, spark):
+    """A key that runs over all partitions keeps one line."""
+    rows = [(k, "this very line is everywhere\nown line of %d" % k) for k in range(500)] + [(None, "this very line is everywhere")]
+    got = line_dedup.digest(line_dedup.applied(docs(rows))).collect()
+    assert {(r.doc_id, r.n_dropped) for r in got} == {(None, 0), *((k, 1) for k in range(500))}
+
+
+# packing
+
+
+def test_pieces_fit_and_ids_are_right(docs):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(13)
+    rows = awkward(rng) + [(400, "Ça <|endoftext|> don't stop... ÀÉ x1y2 ﬁ  I'LL, tHe, the,. 'S"), (401, "İstanbul Σς é ０１ #hash-tag 'tis a_b")]
+    got = packing.packed(docs(rows), 64).collect()
+    plain = Tokenizer.from_file(packing.vocabulary())
+    want = []
+    for d, t in rows:
+        ids = [*plain.encode(t or "", add_special_tokens=False).ids, 0]
+        for k in range(0, len(ids), 64):
+            part = ids[k : k + 64]
+            want.append((d, k // 64, k, len(part), zlib.crc32(np.array(part, "<u4").tobytes())))
+    assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got), key=str) == sorted(want, key=str)
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for held in by.values():
+        at = 0
+        for offset, length in sorted(held):
+            assert offset == at
+            at += length
+        assert at <= 64
+    counts = np.bincount([x[3] for x in want], minlength=65)
+    assert len(by) <= packing.least_bins(counts, 64) + 1
+
+
+def test_encoder_forgets():
+    encoder, plain = packing.Encoder(packing.vocabulary(), 50), packing.Encoder(packing.vocabulary())
+    rng = random.Random(14)
+    for _ in range(20):
+        t = (prose(rng, 60) + "".join(chr(rng.randint(97, 122)) for _ in range(5)) + ".").encode()
+        assert encoder.ids(t) == plain.ids(t)
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.integers(1, 32), min_size=1, max_size=60))
+def test_completion(sizes):
+    counts = np.bincount(sizes, minlength=33)
+    plan = packing.complete(counts, 32)
+    used = np.zeros(33, int)
+    for pattern, n in plan:
+        assert sum(pattern) <= 32 and n > 0
+        for s in pattern:
+            used[s] += n
+    assert (used == counts).all()
+    n = sum(x for _, x in plan)
+    assert packing.least_bins(counts, 32) <= n <= sum(x for _, x in packing.best_fit(counts, 32))
+
+
+def test_completion_beats_best_fit():
+    counts = np.bincount([6, 4, 4, 3, 3] * 7 + [7, 5, 2] * 3, minlength=11)
+    assert sum(n for _, n in packing.complete(counts, 10)) <= sum(n for _, n in packing.best_fit(counts, 10))
+
+
+# secrets and personal data
+
+PIECES = ["password", "PassWd", "secret", "token", "api_key", "apikey", "=", ": ", ' = "', "'", "AKIA", "ABCDEFGHIJ012345", "0123456789abcdef", "deadbeef", "hunter2", "x", " ", "\n", "é", ".", "@", "mail", "example", ".com", "+", "1", "22", "333", "4111 1111 1111 1111", "-", "(", ")", "10.0.0.1", "256", "ſecret", "https://", "a_b%c"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=25).map("".join))
+def test_spans(text):
+    assert [x for x in secret_scan.scanner()(text) if x[1] < 3] == secret_scan.brute(text)
+    assert [x for x in pii.scan(text, pii.anchors()) if x[0] < 4] == pii.brute(text)
+
+
+def test_ledger(docs, spark):
+    rows = [(0, "password = hunter22 x"), (1, None), (2, "password = hunter22 x"), (None, "AKIA" + "A" * 16), (3, "f" * 24), (3, "f" * 24)]
+    ledger = secret_scan.BlobLedger(spark)
+    got = by_id(secret_scan.digest(ledger.scan(docs(rows))), "n_assign", "n_access", "n_hex", "spans")
+    assert got == sorted([(0, 1, 0, 0, "assign:0:19"), (1, 0, 0, 0, ""), (2, 1, 0, 0, "assign:0:19"), (None, 0, 1, 0, "access:0:20"), (3, 0, 0, 1, "hex:0:24"), (3, 0, 0, 1, "hex:0:24")], key=str)
+    pairs = ledger.pairs().count()
+    assert pairs == 4 * len(secret_scan.KINDS)
+    # nothing seen is scanned again; a new version of one rule is scanned for that rule alone
+    assert by_id(secret_scan.digest(ledger.scan(docs(rows))), "spans") == [(x[0], x[4]) for x in got] and ledger.pairs().count() == pairs
+    rules = {k: v for k, (v, _) in secret_scan.RULES.items()} | {"hex": 2}
+    assert by_id(secret_scan.digest(ledger.scan(docs(rows), rules)), "spans") == [(x[0], x[4]) for x in got]
+    assert ledger.pairs().where("version = 2").count() == 4 and ledger.pairs().count() == pairs + 4
+
+
+def test_private_data(docs):
+    rows = [(0, None), (1, "a@b.co"), (None, "é a@b.co"), (2, "x " * 30000 + "4111 1111 1111 1111")]
+    got = by_id(pii.digest(pii.find(docs(rows))), "n_email", "n_card", "spans", "base_sha256")
+    want = [(d, len([x for x in pii.brute(t or "") if x[0] == 0]), len([x for x in pii.brute(t or "") if x[0] == 2]), ",".join(f"{pii.KINDS[k]}:{i}:{j}" for k, i, j in pii.brute(t or "")), pii.sha(pii.brute(t or ""))) for d, t in rows]
+    assert got == sorted(want, key=str)
+
+
+# decontamination
+
+
+def exact(rows, items, least=0.8):
+    def shingles(t):
+        w = raw(t).lower().split()
+        n = min(5, len(w))
+        return {b" ".join(w[k : k + n]) for k in range(len(w) - n + 1)} if w else set()
+
+    return sorted(((d, i) for d, t in rows for i, x in items if (s := shingles(x)) and len(s & shingles(t)) >= least * len(s) - 1e-9), key=str)
+
+
+def test_contained(docs, spark, monkeypatch):
+    rng = random.Random(15)
+    items = [(k, prose(rng, n)) for k, n in enumerate([1, 3, 5, 6, 12, 30, 30, 90, 300])] + [(50, None), (51, ""), (None, prose(rng, 20)), (5, prose(rng, 25))]
+    rows = awkward(rng) + [(500 + k, prose(rng, 80) + " " + (t or "").upper() + "\n" + prose(rng, 80)) for k, (_, t) in enumerate(items)]
+    for k, (_, t) in enumerate(items):
+        words = (t or "").split()
+        if len(words) > 20:
+            words[len(words) // 2] = "changed"
+            rows.append((600 + k, " ".join(words)))
+    rows.append((700, items[1][1]))
+    table = spark.createDataFrame(items, "item_id long, text string")
+    for size in (decontam.BLOCK_BYTES, 300):
+        monkeypatch.setattr(decontam.blocks, "__defaults__", (size,))
+        got = decontam.contained(docs(rows), table).collect()
+        assert sorted(((r.doc_id, r.item_id) for r in got), key=str) == exact(rows, items)
+    assert decontam.contained(docs(rows), table.limit(0)).count() == 0
+
+
+# toxicity
+
+
+def test_gradients():
+    rng = np.random.default_rng(2)
+    net = toxicity.Network()
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    windows = [rng.integers(0, 50, (n, toxicity.FEATURES)) for n in (5, 3, 1, 0)]
+    at, mask, ids = toxicity.batched(windows)
+    y = np.array([1, 0, 1, 0.0])
+    g = net.gradients(ids, at, mask, y)
+
+    def loss():
+        p = toxicity.sigmoid(net.logits(net.inputs(ids), at, mask))
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
+
+    for k in ("wxf", "whf", "bf", "wxb", "whb", "bb", "wa", "va", "wo", "bo"):
+        at_ = tuple(int(rng.integers(0, n)) for n in net.p[k].shape)
+        old = net.p[k][at_]
+        net.p[k][at_] = old + 1e-4
+        up = loss()
+        net.p[k][at_] = old - 1e-4
+        down = loss()
+        net.p[k][at_] = old
+        assert abs((up - down) / 2e-4 - g[k][at_]) < 2e-4, k
+
+
+def test_windows_cover():
+    for n in range(0, 700):
+        got = toxicity.spans(n)
+        assert got[0][0] == 0 and got[-1][1] == n and all(b[0] - a[0] == toxicity.STEP for a, b in zip(got, got[1:], strict=False))
+        assert all(b[0] < a[1] for a, b in zip(got, got[1:], strict=False))
+
+
+def test_toxicity(docs, spark):
+    rng = random.Random(16)
+    bad = ["vile", "nasty"]
+    rows, labels = [], []
+    for k in range(240):
+        words = prose(rng, rng.randint(20, 200)).split()
+        if k % 3 == 0:
+            for _ in range(len(words) // 15 + 1):
+                words.insert(rng.randrange(len(words)), rng.choice(bad))
+        rows.append((k, " ".join(words)))
+        labels.append((k, int(k % 3 == 0)))
+    rows += [(1000, None), (1001, ""), (None, "vile"), (0, rows[0][1])]
+    table = docs(rows)
+    lab = spark.createDataFrame(labels + [(None, 1), (5000, None)], "doc_id long, toxic int")
+    model = toxicity.trained(table, lab)
+    got = toxicity.scored(table, model).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
+    truth = dict(labels)
+    held = [r for r in got if r.held_out and r.doc_id in truth]
+    assert all(r.held_out == toxicity.held_out(r.doc_id) for r in got)
+    assert sum(r.predicted == truth[r.doc_id] for r in held) >= 0.9 * len(held)
+    assert {r.score for r in toxicity.scored(table, toxicity.trained(table, lab.limit(0))).collect()} == {0.0}
+
+
+def test_long_texts_score_alike():
+    rng = random.Random(17)
+    model = toxicity.Model(toxicity.Network(), np.array([0.7, 0.3, 0.0]))
+    for n in (100_001, 1024 * 64 * 2 - 10, 1024 * 64 * 2 + 64, 1024 * 64 * 2 + 65):
+        words = prose(rng, n).encode().split()
+        whole = toxicity.Model(model.net, model.weights)
+        flat = whole._places(words)
+        want = []
+        for i, j in toxicity.spans(n):
+            at = np.array([flat[i:j]])
+            want.append(model.net.logits(whole.gates, at, np.ones(at.shape, bool))[0])
+        assert np.allclose(model.window_logits([b" ".join(words)])[0], want, atol=1e-4)
+
+
+# empty tables
+
+
+def test_empty(docs, spark):
+    none = docs([(0, "x")]).limit(0)
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    items = spark.createDataFrame([(0, "a b c d e f")], "item_id long, text string")
+    for df in (lpf_dedup.removed(none), simhash.digest(simhash.near_duplicates(none)), digest_index.DigestIndex(spark).add(none), line_dedup.digest(line_dedup.applied(none)), packing.packed(none), secret_scan.digest(secret_scan.BlobLedger(spark).scan(none)), decontam.contained(none, items), pii.digest(pii.find(none)), toxicity.scored(none, toxicity.trained(none, labels))):
+        assert df.count() == 0
