@@ -60,7 +60,8 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read again: lineage ends here, lost executors cost nothing."""
+    """Write to the shared folder and read again: lineage ends here, lost executors cost nothing. An aggregate that is
+    joined back to its rows is settled first, for Spark only splits hot keys of a join whose sides it shuffles itself."""
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -61,7 +61,7 @@ class DigestIndex:
         self._append(added)
         fate = groups.join(before.unionByName(added), "digest")
         fate = fate.join(added.select(F.col("digest"), F.lit(True).alias("new")), "digest", "left")
-        out = rows.join(fate, "digest")
+        out = rows.join(common.settle(fate, "fate"), "digest")
         return out.select(
             common.doc_id(), F.nullif("keep_id", F.lit(common.NULL_ID)).alias("keep_id"), "group_size",
             (F.coalesce("new", F.lit(False)) & (F.col("did") == F.col("keep_id"))).alias("kept"),

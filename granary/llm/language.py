@@ -112,11 +112,11 @@ def identified(pages: DataFrame, docs: DataFrame, weight: float = 5.0) -> DataFr
 
     every = seen.agg(mass.alias("all"), F.count_distinct("declared").alias("sayings"), F.count_distinct("suffix").alias("suffixes"))
     # one row of totals, and tables of distinct values; Spark broadcasts those it measures as small
-    said = seen.groupBy("declared").agg(mass.alias("said"))
-    ends = seen.groupBy("suffix").agg(mass.alias("ends"))
+    said = common.settle(seen.groupBy("declared").agg(mass.alias("said")), "said")
+    ends = common.settle(seen.groupBy("suffix").agg(mass.alias("ends")), "ends")
     hosts = common.settle(seen.groupBy("host", "domain").agg(mass.alias("own")), "hosts")
     domains = hosts.groupBy("domain").agg(F.array(*(F.sum(F.col("own")[k]) for k in range(size))).alias("wide"))
-    prior = hosts.join(domains, "domain").select("host", "own", "wide")
+    prior = common.settle(hosts.join(domains, "domain").select("host", "own", "wide"), "prior")
     total = every.first()
     if total["all"][0] is None:
         return seen.select("page_id", "host", "declared", *(F.lit(None).cast("string").alias(c) for c in ("text_lang", "lang")), F.lit(0.0).alias("confidence"), F.lit(0.0).alias("text_p"))

@@ -101,7 +101,7 @@ def first_seen(lines: DataFrame) -> DataFrame:
 def dropped(docs: DataFrame, least: int = 10) -> DataFrame:
     """did, h, bits: for each document that loses lines, its keep bitmap up to the last dropped line, compressed."""
     seen = common.settle(first_seen(lines_of(docs, least)), "lines")
-    ends = seen.where("pos < 0").groupBy("k1", "k2").agg(F.min("did").alias("keeper"))
+    ends = common.settle(seen.where("pos < 0").groupBy("k1", "k2").agg(F.min("did").alias("keeper")), "ends")
     late = seen.where("open and pos >= 0").join(ends, ["k1", "k2"]).where("did <> keeper")
     gone = seen.where("not open").select("did", "h", "pos").unionByName(late.select("did", "h", "pos"))
     # a row that is repeated as a whole drops the same lines twice

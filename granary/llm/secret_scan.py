@@ -100,7 +100,7 @@ class BlobLedger:
         version = F.element_at(F.create_map(*(F.lit(x) for kv in rules.items() for x in kv)), F.col("rule"))
         todo.select("blob", "rule", version.alias("version")).write.mode("append").parquet(f"{self.path}/pairs")
         now = self.findings().where(version == F.col("version")).groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-        return paths.join(now, "blob", "left").select(common.doc_id(), "blob", F.coalesce("spans", F.array().cast(FINDS)).alias("spans"))
+        return paths.join(common.settle(now, "now"), "blob", "left").select(common.doc_id(), "blob", F.coalesce("spans", F.array().cast(FINDS)).alias("spans"))
 
     def _scanned(self, docs: DataFrame, unseen: DataFrame, rules: dict[str, int]) -> DataFrame:
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

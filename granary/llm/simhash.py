@@ -187,7 +187,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rooted = alone.join(tree, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = common.settle(rooted, "rooted")
     named = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    return rows.join(rooted.select("fp", "root").join(named, "root").select("fp", "component"), "fp")
+    return rows.join(common.settle(rooted.select("fp", "root").join(named, "root").select("fp", "component"), "named"), "fp")
 
 
 def digest(near: DataFrame) -> DataFrame:
