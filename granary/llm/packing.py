@@ -21,7 +21,7 @@ import sys
 import unicodedata
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from . import common
 
 LENGTH, END = 2048, 0
-WORDS = 600_000  # distinct words that a worker remembers, with the 65,536 of one step at most
+WORDS = 700_000  # distinct words in each of the two generations that a worker remembers
+STEP = 1 << 22  # bytes of text that are encoded at once
 STOPS = b".,;:!?"
 
 
@@ -59,6 +60,7 @@ class Encoder:
         self.plain.normalizer = normalizers.Sequence([])
         self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
     def _encode(self, tokenizer, words: list[str]) -> list[bytes]:
         ids = [array("I", e.ids) for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -67,14 +69,12 @@ class Encoder:
                 x.byteswap()
         return [x.tobytes() for x in ids]
 
-    def learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > self.words:
-            self.known.clear()
+    def learn(self, words: Iterable[bytes]) -> None:
         plain, other, parted = {}, {}, []
         for w in words:
             core = w.rstrip(STOPS)
             s = core.decode("utf-8", "replace")
-            if s.isalpha() and s.islower() and s == s.lower() and unicodedata.is_normalized("NFC", s):
+            if s.isalpha() and (s.isascii() or s.islower() and s == s.lower() and unicodedata.is_normalized("NFC", s)):
                 plain[core] = s
                 if len(core) < len(w):
                     other[w[len(core) :]] = w[len(core) :].decode()
@@ -82,26 +82,59 @@ class Encoder:
             else:
                 other[w] = w.decode("utf-8", "replace")
         for tokenizer, named in ((self.plain, plain), (self.whole, other)):
-            self.known.update(zip(named, self._encode(tokenizer, list(named.values())), strict=True))
+            todo = [w for w in named if w not in self.known]
+            self.known.update(zip(todo, self._encode(tokenizer, [named[w] for w in todo]), strict=True))
         for w, core, tail in parted:
             self.known[w] = self.known[core] + self.known[tail]
 
-    def ids(self, text: bytes) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
-        if b"<|" in text and any(s in text for s in self.special):
-            return self._encode(self.whole, [text.decode("utf-8", "replace")])[0]
-        words, out = text.lower().split(), []
-        for k in range(0, len(words), 1 << 16):
-            part = words[k : k + (1 << 16)]
-            try:
-                out.append(b"".join([self.known[w] for w in part]))
-            except KeyError:
-                self.learn([w for w in dict.fromkeys(part) if w not in self.known])
-                # forgetting may have taken words that were known before
-                if lost := [w for w in dict.fromkeys(part) if w not in self.known]:
-                    self.learn(lost)
-                out.append(b"".join([self.known[w] for w in part]))
-        return b"".join(out)
+    def of_words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct words in ASCII lower case."""
+        if len(self.known) > self.words:  # the words of one call at most are beyond; of the two generations the older goes
+            self.before, self.known = self.known, {}
+        known, before = self.known, self.before
+        new = [w for w in words if w not in known]
+        known.update((w, before[w]) for w in new if w in before)
+        self.learn([w for w in new if w not in known])
+        return [known[w] for w in words]
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers."""
+        joined = b"\n".join([*texts, b""]).lower()
+        buf = np.frombuffer(joined, np.uint8)
+        letter = (buf != 32) & ((buf < 9) | (buf > 13))
+        edge = np.diff(letter.view(np.int8), prepend=0)
+        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        # the words without what parts them, as an array of Arrow, which finds the distinct ones
+        offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+        words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(buf[letter])])
+        distinct = words.dictionary_encode()
+        each = self.of_words(distinct.dictionary.to_pylist())
+        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        pool, first = np.frombuffer(b"".join(each), "<u4"), np.cumsum(size) - size
+        word = distinct.indices.to_numpy()
+        n = size[word]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        flat = pool[np.arange(upto[-1]) + np.repeat(first[word] - upto[:-1], n)].tobytes()
+        begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        cut = (4 * upto[np.searchsorted(starts, begin)]).tolist()
+        out = [flat[i:j] for i, j in zip(cut, cut[1:], strict=False)]
+        # the names of special tokens are ids of their own in a text
+        for k, t in enumerate(texts):
+            if b"<|" in t and any(s in t for s in self.special):
+                out[k] = self._encode(self.whole, [t.decode("utf-8", "replace")])[0]
+        return out
+
+    def stream(self, texts: list[bytes]) -> Iterator[bytes]:
+        """The ids of each text, so many texts together that a step has about STEP bytes."""
+        held, size = [], 0
+        for t in texts:
+            held.append(t)
+            size += len(t)
+            if size >= STEP:
+                yield from self.ids(held)
+                held, size = [], 0
+        if held:
+            yield from self.ids(held)
 
 
 def pieces(docs: DataFrame, length: int = LENGTH, path: str | None = None) -> DataFrame:
@@ -114,8 +147,8 @@ def pieces(docs: DataFrame, length: int = LENGTH, path: str | None = None) -> Da
         end = np.array([END], "<u4").tobytes()
         for b in batches:
             out: tuple[list, ...] = ([], [], [], [], [], [])
-            for r, t in enumerate(common.raw(b)):
-                ids = encoder.ids(t) + end
+            for r, got in enumerate(encoder.stream(common.raw(b))):
+                ids = got + end
                 for k, lo in enumerate(range(0, len(ids), 4 * length)):
                     part = ids[lo : lo + 4 * length]
                     n = len(part) // 4

@@ -277,8 +277,9 @@ def test_encoder_forgets():
     encoder, plain = packing.Encoder(packing.vocabulary(), 50), packing.Encoder(packing.vocabulary())
     rng = random.Random(14)
     for _ in range(20):
-        t = (prose(rng, 60) + "".join(chr(rng.randint(97, 122)) for _ in range(5)) + ".").encode()
-        assert encoder.ids(t) == plain.ids(t)
+        t = prose(rng, 60) + "".join(chr(rng.randint(97, 122)) for _ in range(5)) + "."
+        texts = [t.encode(), b"", f"  {t}\n".encode(), b" "]
+        assert encoder.ids(texts) == plain.ids(texts) and encoder.ids(texts)[0] == encoder.ids(texts)[2]
 
 
 @settings(max_examples=30, deadline=None)
