@@ -198,6 +198,7 @@ class TableSpec:
     encoding_type: str | None = None
     encoding_version: str | None = None
     chunk_rows: int = 65536
+    default_chunk_bytes: int | None = None
     attributes: dict[str, Any] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -209,8 +210,8 @@ class TableSpec:
         for n in self.index_columns:
             if n not in names or isinstance(self.column(n), ListColumnSpec):
                 raise SchemaError(f"{n!r} cannot be an index column")
-        if self.chunk_rows < 1:
-            raise SchemaError("chunks have at least one row")
+        if self.chunk_rows < 1 or self.default_chunk_bytes is not None and self.default_chunk_bytes < 1024:
+            raise SchemaError("chunks have at least one row and 1024 bytes")
         t.validate_attributes(self.attributes)
 
     @property
@@ -303,7 +304,7 @@ def from_json(j: dict[str, Any]) -> Spec:
     )
 
 
-_TABLE = ("title", "description", "index_columns", "column_order", "units_vocabulary", "encoding_type", "encoding_version", "chunk_rows")
+_TABLE = ("title", "description", "index_columns", "column_order", "units_vocabulary", "encoding_type", "encoding_version", "chunk_rows", "default_chunk_bytes")
 
 
 def table_to_json(s: TableSpec) -> dict[str, Any]:

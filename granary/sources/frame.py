@@ -130,6 +130,15 @@ class Reader:
     def units_vocabulary(self) -> str | None:
         return self.spec.units_vocabulary
 
+    @property
+    def encoding(self) -> tuple[str | None, str | None]:
+        """The type and the version of the encoding that the table says it has."""
+        return self.spec.encoding_type, self.spec.encoding_version
+
+    @property
+    def attributes(self) -> dict[str, Any]:
+        return dict(self.spec.attributes)
+
     # reading
 
     def names(self, columns: list[str] | None) -> list[str]:
@@ -298,6 +307,16 @@ class Column(_Named):
         self.categories = None if spec.categories is None else list(spec.categories)
         self.fill_value = spec.fill_value
 
+    @property
+    def search_indexes(self) -> dict[str, Any]:
+        """The indexes of this column, stale ones too, by name."""
+        return {name: x for name, x in getattr(self.table, "search_indexes", {}).items() if x.column_name == self.name}
+
+    def add_search_index(self, kind: str | None = None, name: str | None = None, description: str | None = None) -> Any:
+        return self.table.add_search_index(self.name, kind, name, description)  # type: ignore[attr-defined]
+
+    build_index = add_search_index
+
     @property
     def codes(self) -> np.ndarray:
         """Codes in place of labels; the fill where missing."""

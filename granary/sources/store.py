@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ConformanceError, GranaryError, SchemaError, VersionError
 from ..functions import types as t
-from ..functions.specs import ColumnSpec, ListColumnSpec, Spec, TableSpec, codec, table_from_json, table_to_json
+from ..functions.specs import ColumnSpec, Fletcher32, ListColumnSpec, Spec, TableSpec, codec, table_from_json, table_to_json
 from ..operators import indexes, positions
 from . import encode, paths
 from .frame import Reader
@@ -183,6 +183,11 @@ class Table(Reader):
         filters = [c for c in self.spec.columns if isinstance(c, ColumnSpec) and c.filters]
         pressed = "zstd" if not filters or any(codec(c.filters) == "zstd" for c in filters) else "snappy"
         writer = df.write.option("compression", pressed)
+        if any(isinstance(f, Fletcher32) for c in filters for f in c.filters):
+            writer = writer.option("parquet.page.write-checksum.enabled", "true")
+        if self.spec.default_chunk_bytes:
+            # a row group holds a chunk of every column, and is what a filter on positions skips
+            writer = writer.option("parquet.block.size", str(self.spec.default_chunk_bytes * max(1, len(self.spec.columns))))
         for c in self.spec.columns:
             if isinstance(c, ColumnSpec) and c.is_string:
                 writer = writer.option(f"parquet.enable.dictionary#{c.name}", "true")

@@ -128,6 +128,34 @@ def test_failed_writes_change_nothing(spark, where):
         Table.open(spark, where + "x")
 
 
+def test_storage_hints(spark, where):
+    spec = TableSpec([ColumnSpec("x", "int64", filters=(Shuffle(), Deflate(3), sp.Fletcher32()))], default_chunk_bytes=2048, encoding_type="dataframe", encoding_version="0.2", units_vocabulary="udunits")
+    t = Table.create(spark, where, spec)
+    t.append(spark.range(20000).select(F.col("id").alias("x")))
+    import glob
+
+    import pyarrow.parquet as pq
+
+    files = [pq.ParquetFile(f).metadata for f in glob.glob(f"{where}/data/*/*.parquet")]
+    assert sum(m.num_row_groups for m in files) > len(files) and files[0].row_group(0).column(1).compression == "ZSTD"
+    again = Table.open(spark, where)
+    assert again.encoding == ("dataframe", "0.2") and again.units_vocabulary == "udunits" and again["x"].build_index().name in again.refresh()["x"].search_indexes
+
+
+def test_values():
+    from granary.functions import values as v
+
+    assert v.encode_bool([True, 0, 1.0]).tolist() == [1, 0, 1] and v.decode_bool([1, 0]).tolist() == [True, False]
+    for bad in ([2], [np.nan], ["a"], np.ma.masked_array([1], [True])):
+        with pytest.raises(SchemaError):
+            v.encode_bool(bad)
+    with pytest.raises(ConformanceError):
+        v.decode_bool([3])
+    assert v.min_max([3.0, np.nan, -1.0, 9.0], 9.0) == (-1.0, 3.0) and v.min_max([np.nan]) is None and v.min_max(np.array(["b", "é", "a"])) == ("a", "é")
+    assert v.is_bool_dtype("?") and v.is_opaque_dtype("V3") and v.is_fixed_string("S3") and not v.is_fixed_string("nope") and v.is_orderable("f4") and not v.is_orderable("V3")
+    assert v.normalize_strings(["a \0", b"b"], True) == [b"a", b"b"] and v.n_categories(ColumnSpec("c", None, categories=["a"])) == 1
+
+
 def test_later_version(spark, where):
     t = make(spark, where, 2)
     paths.create_text(spark, f"{where}/manifest/{t.number + 1:010d}.json", json.dumps(t.manifest | {"version": "2.0"}))
