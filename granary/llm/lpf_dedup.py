@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from . import common
 from .suffix import factors
 
-SIZE, GRAM, HOT, BLOCK = 400, 100, 1024, 1 << 20
+SIZE, GRAM, HOT, BLOCK = 400, 100, 1024, 1 << 19
 SLICE, PLACE = 1 << 20, 21  # starts handled at once, and bits for a place among them
 BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -159,11 +159,12 @@ def repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int = HOT)
     marks = common.settle(marked(rows, size, gram), "marked")
     each = marks.select("did", "h", F.explode(F.arrays_zip("key", "hull", "lo", "hi")).alias("r"))
     each = each.select("did", "h", "r.key", "r.hull", (F.shiftleft(F.col("r.lo").cast("long"), 32) + F.col("r.hi")).alias("at"))
-    twice = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    twice = common.settle(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "twice")
     shared = common.settle(each.join(twice, "key"), "shared")
     hulls = shared.groupBy("key", "hull").agg(F.count("*").alias("m"), F.min(F.struct("did", "at", "h")).alias("first"))
-    kinds = hulls.groupBy("key").agg(F.count("*").alias("kinds"))
-    hulls = common.settle(hulls.join(kinds, "key").where("kinds > 1 or m > 1"), "hulls")
+    hulls = common.settle(hulls, "hulls")
+    kinds = common.settle(hulls.groupBy("key").agg(F.count("*").alias("kinds")), "kinds")
+    hulls = common.settle(hulls.join(kinds, "key").where("kinds > 1 or m > 1"), "met")
     lo, hi = F.shiftright("at", 32).cast("int"), (F.col("at").bitwiseAND(0xFFFFFFFF) + size).cast("int")
     copies = shared.join(hulls.where("m > 1").select("key", "hull", "first"), ["key", "hull"])
     later = F.struct("did", "at", "h") > F.col("first")
@@ -227,7 +228,7 @@ def repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int = HOT)
                 yield common.rows({"d": (d, pa.binary()), "did": (pa.array(np.full(count, did)), None), "lo": (pa.array(np.arange(first, first + count, dtype=np.int64)), None), "h": (pa.array(np.full(count, h)), None), "m": (pa.array(np.full(count, m)), None)})
 
     strings = common.settle(common.over(many.select("did", "h", "lo", "m", "hull"), each_start, "d binary, did long, lo long, h long, m long"), "strings")
-    met = strings.groupBy("d").agg(F.sum("m").alias("n"), F.min(F.struct("did", "lo", "h")).alias("first")).where("n > 1")
+    met = common.settle(strings.groupBy("d").agg(F.sum("m").alias("n"), F.min(F.struct("did", "lo", "h")).alias("first")).where("n > 1"), "counted")
     counted = strings.join(met, "d")
     again = F.struct("did", "lo", "h") > F.col("first")
     # a hull with copies is whole already, but for what an earlier string makes of its first
