@@ -8,7 +8,7 @@ aggregations over all pages; hosts are joined back by an equi-join that Spark ca
 host is hot. What reaches the driver is the trigram counts, of fixed size for each language.
 
 Null html or url counts as empty, and its host, suffix or declaration is then one value like any other; null ids stay
-null; rows that repeat are pages of their own. Without labelled documents there are no languages and lang is null.
+null; documents have a doc_id and no page_id, pages a page_id and no doc_id; rows that repeat are pages of their own. Without labelled documents there are no languages and lang is null.
 """
 
 from __future__ import annotations
@@ -68,39 +68,53 @@ def likelihoods(docs: DataFrame, most: int = 64) -> tuple[list[str], np.ndarray]
     return langs, np.log(n / n.sum(axis=1, keepdims=True)) if langs else n
 
 
-def evidence(pages: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
-    """page_id, host, domain, suffix, declared, p: the text's posterior under equal priors, tempered for its length."""
+def evidence(pages: DataFrame, docs: DataFrame | None, langs: list[str], table: np.ndarray) -> DataFrame:
+    """page_id, doc_id, host, domain, suffix, declared, p: the text's posterior under equal priors, tempered for its length.
+    Documents are pages without markup or address, whose source stands for the host."""
     sent = pages.sparkSession.sparkContext.broadcast(table)  # at most 64 languages by BUCKETS
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
         for b in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
-            for html, url in zip(common.raw(b, "html"), common.raw(b, "url"), strict=True):
-                n = trigrams(visible(html))
+            for html, url, marked in zip(common.raw(b, "html"), common.raw(b, "url"), b.column("marked").to_pylist(), strict=True):
+                n = trigrams(visible(html) if marked else html)
                 # neighbouring trigrams overlap, so their evidence counts as that of the root of their number
                 logit = table @ n / max(1.0, float(n.sum()) ** 0.5)
                 p = np.exp(logit - logit.max())
-                host = (m[1].lower().decode("utf-8", "replace") if (m := HOST.match(url)) else "").rstrip(".")
-                labels = host.split(".")
-                said = m[1].lower().decode() if (m := DECLARED.search(html)) else ""
+                if marked:
+                    host = (m[1].lower().decode("utf-8", "replace") if (m := HOST.match(url)) else "").rstrip(".")
+                    labels = host.split(".")
+                    said = m[1].lower().decode() if (m := DECLARED.search(html)) else ""
+                else:
+                    host, labels, said = "source:" + url.decode("utf-8", "replace"), [""], ""
                 for to, x in zip(out, (host, ".".join(labels[-2:]), labels[-1], said, p / p.sum()), strict=True):
                     to.append(x)
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), *(pa.array(x, pa.string()) for x in out[:4]), pa.array(out[4], pa.list_(pa.float64()))], ["page_id", "host", "domain", "suffix", "declared", "p"])
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("doc_id"), *(pa.array(x, pa.string()) for x in out[:4]), pa.array(out[4], pa.list_(pa.float64()))], ["page_id", "doc_id", "host", "domain", "suffix", "declared", "p"])
 
-    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), blank("html"), blank("url"))
-    return common.over(rows, work, "page_id long, host string, domain string, suffix string, declared string, p array<double>")
+    return common.over(_asked(pages, docs), work, "page_id long, doc_id long, host string, domain string, suffix string, declared string, p array<double>")
 
 
-def identified(pages: DataFrame, docs: DataFrame, weight: float = 5.0) -> DataFrame:
-    """page_id, host, declared, text_lang, lang, confidence, text_p of every page. weight: of what a host's prior is smoothed with."""
+def _asked(pages: DataFrame, docs: DataFrame | None) -> DataFrame:
+    def blank(c: str, name: str) -> F.Column:
+        return F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name)
+
+    none = F.lit(None).cast("long")
+    out = pages.select(F.col("page_id").cast("long").alias("page_id"), none.alias("doc_id"), blank("html", "html"), blank("url", "url"), F.lit(True).alias("marked"))
+    if docs is not None:
+        out = out.unionByName(docs.select(none.alias("page_id"), F.col("doc_id").cast("long").alias("doc_id"), blank("text", "html"), blank("source", "url"), F.lit(False).alias("marked")))
+    return out
+
+
+def identified(pages: DataFrame, docs: DataFrame, weight: float = 5.0, also: DataFrame | None = None) -> DataFrame:
+    """page_id, doc_id, host, declared, text_lang, lang, confidence, text_p of every page, and of every document of ``also``.
+    docs: what the likelihoods are counted on. weight: of what a host's prior is smoothed with."""
     langs, table = likelihoods(docs)
     if not langs:
-        rows = pages.select(F.col("page_id").cast("long").alias("page_id"))
-        return rows.select("page_id", *(F.lit(None).cast("string").alias(c) for c in ("host", "declared", "text_lang", "lang")), F.lit(0.0).alias("confidence"), F.lit(0.0).alias("text_p"))
+        rows = _asked(pages, also)
+        return rows.select("page_id", "doc_id", *(F.lit(None).cast("string").alias(c) for c in ("host", "declared", "text_lang", "lang")), F.lit(0.0).alias("confidence"), F.lit(0.0).alias("text_p"))
     size = len(langs)
-    seen = common.settle(evidence(pages, langs, table), "evidence")
+    seen = common.settle(evidence(pages, also, langs, table), "evidence")
     mass = F.array(*(F.sum(F.col("p")[k]) for k in range(size)))
 
     def add(a: F.Column, b: F.Column, f) -> F.Column:
@@ -119,7 +133,7 @@ def identified(pages: DataFrame, docs: DataFrame, weight: float = 5.0) -> DataFr
     prior = common.settle(hosts.join(domains, "domain").select("host", "own", "wide"), "prior")
     total = every.first()
     if total["all"][0] is None:
-        return seen.select("page_id", "host", "declared", *(F.lit(None).cast("string").alias(c) for c in ("text_lang", "lang")), F.lit(0.0).alias("confidence"), F.lit(0.0).alias("text_p"))
+        return seen.select("page_id", "doc_id", "host", "declared", *(F.lit(None).cast("string").alias(c) for c in ("text_lang", "lang")), F.lit(0.0).alias("confidence"), F.lit(0.0).alias("text_p"))
     whole = F.array(*(F.lit(float(x)) for x in total["all"]))
     base = share(F.transform(whole, lambda x: x + 1.0))
     out = seen.join(said, "declared").join(ends, "suffix").join(prior, "host")
@@ -137,4 +151,4 @@ def identified(pages: DataFrame, docs: DataFrame, weight: float = 5.0) -> DataFr
     out = out.withColumn("post", share(F.transform("logit", lambda x: F.exp(x - F.array_max("logit")))))
     name = F.array(*(F.lit(x) for x in langs))
     best = lambda c: F.element_at(name, F.array_position(c, F.array_max(c)).cast("int"))
-    return out.select("page_id", "host", "declared", best("p").alias("text_lang"), best("post").alias("lang"), F.array_max("post").alias("confidence"), F.array_max("p").alias("text_p"))
+    return out.select("page_id", "doc_id", "host", "declared", best("p").alias("text_lang"), best("post").alias("lang"), F.array_max("post").alias("confidence"), F.array_max("p").alias("text_p"))

@@ -19,7 +19,8 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.identified(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return language.identified(table(spark, sf_dir, "pages"), docs, also=docs)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

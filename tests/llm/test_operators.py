@@ -11,6 +11,7 @@ import pytest
 from granary.llm import common, components, decontam, digest_index, language, line_dedup, lpf_dedup, packing, pii, secret_scan, simhash, suffix, toxicity
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 WORDS = [a + b for a in ("ba", "do", "ri", "ke", "lu", "é") for b in ("n", "st", "mo", "x")]
 
@@ -190,6 +191,9 @@ def test_language(spark):
     assert len(got) == len(rows)
     lang = {(r.page_id, r.host): r.lang for r in got}
     assert all(lang[k, "a.x.com"] == "aa" for k in (0, 1, 5, 20)) and all(lang[k, "b.x.org"] == "bb" for k in (10, None))
+    also = docs.withColumn("source", F.lit("s")).drop("lang")
+    more = language.identified(spark.createDataFrame(rows, "page_id long, url string, html string"), docs, also=also).collect()
+    assert len(more) == len(rows) + 12 and {r.doc_id: r.lang for r in more if r.page_id is None and r.doc_id is not None} | {99: "aa"} == {**{k: ["aa", "bb"][k % 2] for k in range(10)}, 98: "aa", 99: "aa"}
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert language.identified(empty, docs).count() == 0
     assert [r.lang for r in language.identified(empty.union(spark.createDataFrame(rows[:1], empty.schema)), docs.limit(0)).collect()] == [None]
