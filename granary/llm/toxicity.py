@@ -6,10 +6,10 @@ pools their states into one logit. A document is scored by all its overlapping w
 largest logits, smoothed, are calibrated to a probability by a logistic fitted on
 labelled rows that took no part in the training of the network.
 
-Labels only come from rows whose crc32(doc_id as text) mod 4 is not 2, at most ``most`` of each class,
-chosen by a hash of their ids: that bounds what reaches the driver. Language, source
+Labels only come from rows whose crc32(doc_id as text) mod 4 is not 2, at most ``most`` toxic and twice
+as many others, chosen by a hash of their ids: that bounds what reaches the driver. Language, source
 and id are no inputs. Scoring covers all words of every document where it is read; nothing is
-shuffled. Null or empty text is one empty window; a null id is not held out and its row never trained on; rows that
+shuffled. Null, empty and wordless texts score 0; a null id is not held out and its row never trained on; rows that
 repeat get equal scores; without any labels of both classes every score is 0.
 """
 
@@ -172,7 +172,7 @@ class Network:
 def batched(windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places, mask and distinct feature rows of windows of any lengths; an empty one is one step that counts as a word of no features' sum."""
     steps = max(1, *(len(w) for w in windows))
-    every = np.concatenate([np.zeros((1, FEATURES), np.int64), *windows])
+    every = np.concatenate([np.zeros((1, FEATURES), np.int64), *windows]).astype(np.int64)
     ids, back = np.unique(every, axis=0, return_inverse=True)
     back = back.ravel()
     at = np.full((len(windows), steps), back[0])
@@ -255,8 +255,8 @@ class Model:
         size = edge[:, 1] - edge[:, 0]
         logits = np.zeros(len(rows), np.float32)
         order = np.argsort(size, kind="stable")  # alike lengths go together
-        for k in range(0, len(order), 2048):
-            some = order[k : k + 2048]
+        for k in range(0, len(order), 1024):
+            some = order[k : k + 1024]
             steps = max(1, int(size[some].max()))
             col = np.arange(steps)
             mask = col < np.maximum(1, size[some])[:, None]
@@ -270,7 +270,8 @@ class Model:
         if self.net is None:
             return np.zeros(len(texts))
         x = np.array([[*pooled(g), 1.0] for g in self.window_logits(texts)]).reshape(-1, 3)
-        return sigmoid(x @ self.weights)
+        worded = np.array([bool(t.split()) for t in texts], bool)
+        return sigmoid(x @ self.weights) * worded
 
 
 def held_out(doc: int | None) -> bool:
@@ -286,14 +287,13 @@ def fit(rows: list[tuple[int, bytes, int]]) -> Model:
     if len({y for (_, _, y), a in zip(rows, apart, strict=True) if not a}) < 2:
         apart[:] = False
     net, rng = Network(), np.random.default_rng(3)
-    words = [t.lower().split() for _, t, _ in rows]
-    ids = [features(d) for d in words]
+    ids = [features(t.lower().split()).astype(np.uint16) for _, t, _ in rows]
     # naive Bayes weights of the buckets start the first embedding dimension, and choose windows
     seen = np.zeros((2, BUCKETS))
     number = np.zeros(2)
     for x, (_, _, y), a in zip(ids, rows, apart, strict=True):
         if not a:
-            seen[y, np.unique(x)] += 1
+            seen[y, np.unique(x).astype(np.int64)] += 1
             number[y] += 1
     odds = np.log((seen[1] + 0.3) / (number[1] + 0.6)) - np.log((seen[0] + 0.3) / (number[0] + 0.6))
     odds = np.where(seen.sum(axis=0) >= 3, odds, 0)
@@ -312,7 +312,7 @@ def fit(rows: list[tuple[int, bytes, int]]) -> Model:
                 continue
             windows.append(x[at[k][0] : at[k][1]])
             y.append(label)
-    # so few rows see many epochs, so many see few
+    # few rows see many epochs, many see few
     net.fit(windows, np.array(y, np.float32), epochs=int(np.clip(12_000 // max(1, len(windows)), 2, 12)))
     model = Model(net)
     use = apart if len({y for (_, _, y), a in zip(rows, apart, strict=True) if a}) == 2 else np.ones(len(rows), bool)
@@ -337,11 +337,11 @@ def calibrated(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most: int = 2000) -> DataFrame:
-    """doc_id, text, toxic of the rows to learn from: of each class at most so many, by a hash of the id."""
+    """doc_id, text, toxic of the rows to learn from: at most so many toxic and twice as many others, by a hash of the id."""
     may = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     may = may.where("doc_id is not null and toxic in (0, 1)").where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    parts = [may.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for y in (0, 1)]
-    chosen = parts[0].unionByName(parts[1])  # at most 2 * most rows
+    parts = [may.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((0, 2 * most), (1, most))]
+    chosen = parts[0].unionByName(parts[1])  # at most 3 * most rows
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return rows.join(F.broadcast(chosen), "doc_id")
 
