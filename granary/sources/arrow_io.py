@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from decimal import Decimal
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import ConformanceError, SchemaError
 from ..functions import types as t
@@ -198,8 +200,8 @@ def suggested_fill(values: pa.ChunkedArray, dtype: t.Logical) -> Any:
     raise SchemaError("every fill near the limit of the type is a value; give one that is not")
 
 
-def prepared(table: pa.Table, specs: Sequence[Spec] | None) -> tuple[list[Spec], dict[str, list[Any]]]:
-    """Specifications, given or found, and the values; refused where a fill is among them."""
+def prepared(table: pa.Table, specs: Sequence[Spec] | None) -> list[Spec]:
+    """Specifications, given or found; refused where a fill is among the values."""
     given = {s.name: s for s in specs or ()}
     if unknown := sorted(set(given) - set(table.column_names)):
         raise SchemaError(f"the table has no columns {unknown}")
@@ -220,10 +222,32 @@ def prepared(table: pa.Table, specs: Sequence[Spec] | None) -> tuple[list[Spec],
                 except SchemaError:
                     free = ""
                 raise SchemaError(f"column {spec.name!r} holds its fill {spec.fill_value!r} as a value{free}")
-    return out, values_of(table)
+    return out
 
 
-def values_of(table: pa.Table) -> dict[str, list[Any]]:
-    return {n: c.to_pylist() for n, c in zip(table.column_names, table.columns, strict=True)}
+def _plain_type(kind: pa.DataType) -> pa.DataType:
+    """The type in which Spark takes values of an Arrow type."""
+    if pa.types.is_dictionary(kind):
+        return _plain_type(kind.value_type)
+    if _is_list(kind):
+        return pa.list_(_plain_type(kind.value_type))
+    if _is_text(kind):
+        return pa.string()
+    if pa.types.is_fixed_size_binary(kind):
+        return pa.binary()
+    signed = {pa.uint8(): pa.int16(), pa.uint16(): pa.int32(), pa.uint32(): pa.int64(), pa.uint64(): pa.decimal128(20, 0), pa.float16(): pa.float32()}
+    return signed.get(kind, kind)
+
+
+def frame_of(spark: SparkSession, table: pa.Table) -> DataFrame:
+    """An Arrow table as a DataFrame in the same order, labels in place of codes."""
+    columns = []
+    for c in table.columns:
+        to = _plain_type(c.type)
+        if pa.types.is_unsigned_integer(c.type) and pa.types.is_decimal(to):
+            columns.append(pa.array([None if x is None else Decimal(x) for x in c.to_pylist()], to))
+        else:
+            columns.append(c.cast(to))
+    return spark.createDataFrame(pa.table(columns, names=table.column_names))
 
 

@@ -56,14 +56,18 @@ def masked_array(values: pa.ChunkedArray, spec: Spec, masked: bool) -> Any:
     """Values on the driver: a masked array, lists of lists, or plain arrays with fills."""
     if isinstance(spec, ListColumnSpec):
         return values.to_pylist()
-    got = values.to_pylist()
-    gone = np.array([x is None for x in got], bool)
+    gone = values.is_null().to_numpy().astype(bool)
     if spec.is_categorical or spec.is_string or t.is_opaque(spec.dtype):
-        out = np.array(got, object)
+        out = np.empty(len(values), object)
+        out[:] = values.to_pylist()
     else:
         kind = np.dtype("bool" if spec.is_boolean else spec.dtype)
         fill = 0 if spec.fill_value is None or spec.is_boolean else spec.fill_value
-        out = np.array([fill if x is None else int(x) if kind.kind in "iu" else x for x in got], kind)
+        if pa.types.is_decimal(values.type):  # unsigned 64-bit integers
+            out = np.array([fill if x is None else int(x) for x in values.to_pylist()], kind)
+        else:
+            out = values.fill_null(False if spec.is_boolean else 0).to_numpy().astype(kind)
+            out[gone] = fill
     return np.ma.MaskedArray(out, mask=gone) if masked else out
 
 

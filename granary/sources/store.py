@@ -88,8 +88,7 @@ class Table(Reader):
     def from_arrow(cls, spark: SparkSession, path: str, table: pa.Table, specs: Sequence[Spec] | None = None, **kw: Any) -> Table:
         from . import arrow_io
 
-        prepared, values = arrow_io.prepared(table, specs)
-        return cls._filled(spark, path, prepared, values, kw)
+        return cls._filled(spark, path, arrow_io.prepared(table, specs), table, kw)
 
     @classmethod
     def from_dataframe(cls, spark: SparkSession, path: str, df: DataFrame, specs: Sequence[Spec], **kw: Any) -> Table:
@@ -151,7 +150,7 @@ class Table(Reader):
         if isinstance(data, pa.Table):
             from . import arrow_io
 
-            data = arrow_io.values_of(data)
+            data = arrow_io.frame_of(self.spark, data)
         given = data if isinstance(data, DataFrame) else encode.from_values(self.spark, self.spec, data)
         ready = encode.incoming(self.spec, given)
         part = f"data/{uuid.uuid4().hex}"
