@@ -52,7 +52,8 @@ class DigestIndex:
         """doc_id, keep_id, group_size (in this batch), kept, text_sha256 of every row."""
         rows = common.keyed(docs).select("did", F.unhex(F.sha2("text", 256)).alias("digest"))
         rows = common.settle(rows, "digested")
-        groups = rows.groupBy("digest").agg(F.max("did").alias("newest"), F.count("*").alias("group_size"))
+        # settled, or Spark would anti-join the rows and only then group them
+        groups = common.settle(rows.groupBy("digest").agg(F.max("did").alias("newest"), F.count("*").alias("group_size")), "groups")
         known = self.entries()
         fresh = groups.join(known.hint("merge"), "digest", "left_anti")
         added = common.settle(fresh.select("digest", F.col("newest").alias("keep_id")), "fresh")
