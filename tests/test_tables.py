@@ -423,6 +423,9 @@ def test_validation_finds(spark, where):
     broken["indexes"]["x__chunk_minmax"]["generation"] = 7  # stale: says nothing
     Table(spark, where, t.number, broken).validate(deep=True)
     part = good["parts"][0]["dir"]
+    spark.read.parquet(f"{where}/{part}").withColumn("__pos", F.when(F.col("__pos") == 5, 6).otherwise(F.col("__pos")).cast("long")).write.parquet(f"{where}/{part}p")
+    with pytest.raises(ConformanceError, match="repeat"):
+        Table(spark, where, t.number, good | {"parts": [good["parts"][0] | {"dir": part + "p"}]}).validate()
     spark.read.parquet(f"{where}/{part}").withColumn("x", F.lit(-1).cast("long")).write.parquet(f"{where}/{part}x")
     with pytest.raises(ConformanceError, match="fills stored"):
         Table(spark, where, t.number, good | {"parts": [good["parts"][0] | {"dir": part + "x"}]}).validate()
