@@ -34,7 +34,8 @@ def numbered(df: DataFrame, start: int, stage: str, name: str = POSITION) -> tup
     for r in counts:
         n[r["p"]] = r["count"]
     before = (np.cumsum(n) - n + start).tolist()
-    base = F.element_at(F.array(*map(F.lit, before)), part + 1) if before else F.lit(start)
+    # one literal, folded once, however many partitions
+    base = F.element_at(F.split(F.lit(",".join(map(str, before))), ",").cast("array<bigint>"), part + 1) if before else F.lit(start)
     return df.select((base.cast("long") + place).alias(name), *columns), int(n.sum())
 
 
