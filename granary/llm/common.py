@@ -76,8 +76,41 @@ def settle_bucketed(df: DataFrame, name: str, keys: list[str], buckets: int) ->
     return spark.table(to)
 
 
-def over(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(work, schema)
+Work = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+SLICE = 4 << 20  # bytes of a batch that work sees at once
+
+
+def over(df: DataFrame, work: Work, schema: str, keeps: str = "") -> DataFrame:
+    """mapInArrow by work, which sees batches in slices of a few MB; keeps: the memo that it uses. Workers outlive
+    their tasks, so each begins by forgetting what other operators kept and ends by giving free memory back."""
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(keeps)
+        try:
+            yield from work(sliced(batches))
+        finally:
+            trim()
+
+    return df.mapInArrow(lean, schema)
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        n = max(1, int(b.num_rows * SLICE / max(SLICE, b.nbytes)))
+        for k in range(0, b.num_rows, n):
+            yield b.slice(k, n)
+
+
+def trim() -> None:
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def raw(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
@@ -113,5 +146,15 @@ def memo(name: str, make: Callable[[], object]) -> object:
     return getattr(kept, name)
 
 
+def forget(but: str = "") -> None:
+    """Drop all memos but one."""
+    kept = sys.modules.get("_granary_memo")
+    gone = [k for k in vars(kept) if k != but and not k.startswith("__")] if kept else []
+    for k in gone:
+        delattr(kept, k)
+    if gone:
+        trim()
+
+
 def rows(columns: dict[str, tuple[object, pa.DataType]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in columns.values()], list(columns))

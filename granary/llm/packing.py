@@ -21,6 +21,7 @@ import sys
 import unicodedata
 import zlib
 from array import array
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 from . import common
 
 LENGTH, END = 2048, 0
-WORDS = 700_000  # distinct words in each of the two generations that a worker remembers
-STEP = 1 << 22  # bytes of text that are encoded at once
+WORDS = 300_000  # distinct words in each of the two generations that a worker remembers
+STEP = 1 << 21  # bytes of text that are encoded at once
 STOPS = b".,;:!?"
 
 
@@ -159,7 +160,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, path: str | None = None) -> Da
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([did, *(pa.array(x, k) for x, k in zip(out[1:5], kinds, strict=True)), pa.array(np.full(len(did), task, np.int32)), pa.array(out[5], pa.int64())], ["did", "piece", "start", "length", "ids_crc32", "task", "nth"])
 
-    return common.over(common.keyed(docs), work, "did long, piece int, start long, length long, ids_crc32 long, task int, nth long")
+    return common.over(common.keyed(docs), work, "did long, piece int, start long, length long, ids_crc32 long, task int, nth long", keeps=f"encoder {path}")
 
 
 def least_bins(counts: np.ndarray, length: int) -> int:
@@ -177,52 +178,51 @@ def least_bins(counts: np.ndarray, length: int) -> int:
     return best
 
 
+def _reachable(sizes: Iterable[int], room: int) -> int:
+    """As bits, the sums up to room of pieces of these sizes, any number of each."""
+    bits, full = 1, (1 << room + 1) - 1
+    for s in sizes:
+        step = s
+        while step <= room:
+            bits |= bits << step & full
+            step *= 2
+    return bits
+
+
 def _fillings(counts: np.ndarray, room: int, most: int, limit: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of a room, least waste first and of those with large pieces first. A filling is
-    dominated by one that puts a larger piece in place of some of its pieces; going from large to small pieces and
-    never leaving a piece out that would still fit keeps to the undominated. Waste beyond the best by ``most`` is cut."""
-    have = np.flatnonzero(counts[: room + 1])[::-1]
-    have = have[have > 0]
-    if not len(have):
-        return [()]
-    # what sums can still be reached from each place on cuts branches that must waste too much
+    """Undominated fillings of a room, least waste first, then of fewer and larger pieces.
+
+    Depth first, larger pieces before smaller, each taken before it is left out. A filling is dominated, and not
+    kept, if a piece that was left out still fits or fits in place of a smaller one that was taken. A branch is cut
+    when even pieces without number could not bring its waste to within ``most`` of the least found so far."""
+    sizes = [int(s) for s in np.flatnonzero(counts[: room + 1])[::-1] if s]
+    sums = _reachable(sizes, room)
     found: list[tuple[int, tuple[int, ...]]] = []
-    best = room
-    steps = 0
-    stack: list[tuple[int, int, tuple[int, ...]]] = [(0, room, ())]
-    descending = -have
+    best, steps = room, 0
+    stack: list[tuple[int, int, tuple[int, ...], tuple[int, ...]]] = [(0, room, (), ())]
     while stack and steps < limit:
-        k, left, taken = stack.pop()
+        k, left, taken, skipped = stack.pop()
         steps += 1
-        k = max(k, int(np.searchsorted(descending, -left)))
-        if k >= len(have):
-            if left <= best + most:
+        if left - (sums & (1 << left + 1) - 1).bit_length() + 1 > best + most:
+            continue
+        while k < len(sizes) and (sizes[k] > left or taken.count(sizes[k]) >= counts[sizes[k]]):
+            k += 1
+        if k == len(sizes):
+            if not any(s <= left or any(t < s <= left + t for t in taken) for s in skipped):
                 best = min(best, left)
                 found.append((left, taken))
-                if left == 0 and len(found) >= 8:
+                if len(found) >= 8 and best == 0:
                     break
             continue
-        size = int(have[k])
-        free = int(counts[size]) - taken.count(size)
-        nexts = []
-        if free > 0:
-            nexts.append((k, left - size, (*taken, size)))
-            exact = left - size  # a piece that closes the room exactly is tried first
-            # the largest pieces, and those that leave a rest which one piece fills
-            for other in have[k + 1 : k + 4].tolist():
-                if counts[other] > taken.count(other):
-                    nexts.append((int(np.searchsorted(descending, -other)), left - other, (*taken, other)))
-            if exact > 0 and exact <= room:
-                pairs = have[(have <= left) & (left - have >= 0)]
-                mates = left - pairs
-                both = pairs[(mates > 0) & (mates <= pairs) & (counts[np.clip(mates, 0, len(counts) - 1)] > 0)]
-                for a in both[:4].tolist():
-                    c = left - a
-                    if counts[a] > taken.count(a) and counts[c] > taken.count(c) + (a == c):
-                        nexts.append((len(have), 0, (*taken, a, c)))
-        else:
-            nexts.append((k + 1, left, taken))
-        stack += nexts[::-1]
+        size = sizes[k]
+        if len(skipped) < 8:
+            stack.append((k + 1, left, taken, (*skipped, size)))
+        # the piece that closes the room exactly, or as nearly as any, comes before all between
+        last = bisect_left(sizes, -left, key=lambda s: -s)
+        if last < len(sizes) and last > k and sizes[last] == left and taken.count(left) < counts[left]:
+            stack.append((len(sizes), 0, (*taken, left), ()))
+        stack.append((k, left - size, (*taken, size), skipped))
+    found = [x for x in found if x[0] <= best + most]
     found.sort(key=lambda x: (x[0], len(x[1]), tuple(-s for s in x[1])))
     return list(dict.fromkeys(x[1] for x in found)) or [()]
 
@@ -270,7 +270,8 @@ def complete(counts: np.ndarray, length: int, tries: int = 3, steps: int = 300)
             left[size] -= 1
             options = _fillings(left, length - size, 0 if attempt == 0 else length // 64, steps << attempt)
             left[size] += 1
-            pattern = (size, *options[min(attempt and used % 2, len(options) - 1)])
+            # further attempts leave the first choice now and then
+            pattern = (size, *options[attempt and len(plan) % (attempt + 1) and min(1, len(options) - 1)])
             n = _times(left, pattern)
             for s in pattern:
                 left[s] -= n
@@ -314,7 +315,7 @@ def packed(docs: DataFrame, length: int = LENGTH, path: str | None = None) -> Da
             sequence = row[:, 2] + b.column("rank").to_numpy() - row[:, 1]
             yield pa.RecordBatch.from_arrays([*(b.column(x) for x in ("did", "piece", "start", "length", "ids_crc32")), pa.array(sequence), pa.array(row[:, 3])], ["did", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    ranked = cut.join(by_task.select("length", "task", "before"), ["length", "task"])
+    ranked = cut.join(by_task.select("length", "task", "before").hint("merge"), ["length", "task"])
     ranked = ranked.select("did", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
     out = common.over(ranked, work, "did long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return out.select(common.doc_id(), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
