@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from . import common
 
 LENGTH, END = 2048, 0
-WORDS = 300_000  # distinct words in each of the two generations that a worker remembers
-STEP = 1 << 21  # bytes of text that are encoded at once
+WORDS = 550_000  # distinct words in each of the two generations that a worker remembers
+STEP = 1 << 22  # bytes of text that are encoded at once
 STOPS = b".,;:!?"
 
 
