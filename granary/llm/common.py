@@ -11,12 +11,13 @@ from __future__ import annotations
 import sys
 import types
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Executors need not have the library: its functions travel with the plan.
 cloudpickle.register_pickle_by_value(sys.modules[__name__.partition(".")[0]])
@@ -28,11 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keyed(df: DataFrame) -> DataFrame:
-    """did, h, text of a documents table; a null text is empty."""
+def keyed(df: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """did, h, text of a documents table, and columns to carry along as x_<name>; a null text is empty."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     did = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    return df.select(did.alias("did"), F.xxhash64(text).alias("h"), text.alias("text"))
+    return df.select(did.alias("did"), F.xxhash64(text).alias("h"), text.alias("text"), *(F.col(c).alias(f"x_{c}") for c in carry))
 
 
 def doc_id(col: str = "did") -> F.Column:
@@ -80,7 +81,7 @@ Work = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 SLICE = 4 << 20  # bytes of a batch that work sees at once
 
 
-def over(df: DataFrame, work: Work, schema: str, keeps: str = "") -> DataFrame:
+def over(df: DataFrame, work: Work, schema: str | T.StructType, keeps: str = "") -> DataFrame:
     """mapInArrow by work, which sees batches in slices of a few MB; keeps: the memo that it uses. Workers outlive
     their tasks, so each begins by forgetting what other operators kept and ends by giving free memory back."""
 
@@ -119,7 +120,9 @@ def raw(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
 
 
 def packed(df: DataFrame) -> DataFrame:
-    """did, h, z: keyed rows with the text compressed, for shuffles that must carry it."""
+    """Keyed rows with the text compressed as z, for shuffles that must carry it."""
+    rest = [f for f in df.schema.fields if f.name != "text"]
+    names = [f.name for f in rest]
 
     def pack(batches):
         import zstandard
@@ -127,9 +130,9 @@ def packed(df: DataFrame) -> DataFrame:
         press = zstandard.ZstdCompressor(level=1)
         for b in batches:
             z = pa.array([press.compress(t) for t in raw(b)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("did"), b.column("h"), z], ["did", "h", "z"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), z], [*names, "z"])
 
-    return over(df.select("did", "h", "text"), pack, "did long, h long, z binary")
+    return over(df, pack, T.StructType([*rest, T.StructField("z", T.BinaryType())]))
 
 
 def unpacker() -> Callable[[bytes], bytes]:

@@ -17,12 +17,13 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -130,10 +131,12 @@ def kept_lines(text: bytes, upto: int | None, bits: bytes | None) -> tuple[int,
     return len(lines), b"\n".join([x for x, k in zip(lines, keep) if k] + lines[upto:])
 
 
-def applied(docs: DataFrame, least: int = 10) -> DataFrame:
-    """did, h, n_lines, n_dropped and the kept text of every document."""
-    rows = common.keyed(docs)
+def applied(docs: DataFrame, least: int = 10, carry: Sequence[str] = ()) -> DataFrame:
+    """did, h, n_lines, n_dropped and the kept text of every document, and columns to carry along as x_<name>. Texts are shuffled once."""
+    rows = common.keyed(docs, carry)
     marks = common.settle(dropped(rows, least), "bitmaps")
+    extra = [f for f in rows.schema.fields if f.name.startswith("x_")]
+    own = T._parse_datatype_string("did long, h long, n_lines long, n_dropped long, kept binary")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = common.unpacker()
@@ -143,10 +146,10 @@ def applied(docs: DataFrame, least: int = 10) -> DataFrame:
                 count, text = kept_lines(unpack(z), upto, bits)
                 n.append(count)
                 kept.append(text)
-            yield common.rows({"did": (b.column("did"), None), "h": (b.column("h"), None), "n_lines": (n, pa.int64()), "n_dropped": (b.column("n_dropped").fill_null(0), None), "kept": (kept, pa.binary())})
+            yield common.rows({"did": (b.column("did"), None), "h": (b.column("h"), None), "n_lines": (n, pa.int64()), "n_dropped": (b.column("n_dropped").fill_null(0), None), "kept": (kept, pa.binary())} | {f.name: (b.column(f.name), None) for f in extra})
 
     both = common.packed(rows).join(marks.hint("shuffle_hash"), ["did", "h"], "left")
-    return common.over(both, work, "did long, h long, n_lines long, n_dropped long, kept binary")
+    return common.over(both, work, T.StructType([*own.fields, *extra]))
 
 
 def digest(kept: DataFrame) -> DataFrame:
