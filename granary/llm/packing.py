@@ -49,13 +49,14 @@ class Encoder:
 
     Each distinct word is encoded once while it is remembered. Stops after a word of letters are tokens of their own."""
 
-    def __init__(self, path: str, words: int = WORDS):
+    def __init__(self, path: str, words: int = WORDS, step: int = STEP):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.whole, self.plain, self.words = Tokenizer.from_file(path), Tokenizer.from_file(path), words
+        self.step = step
         self.special = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
         # for words of lower-case letters, to which its normalizers and patterns do nothing
         self.plain.normalizer = normalizers.Sequence([])
@@ -126,24 +127,25 @@ class Encoder:
         return out
 
     def stream(self, texts: list[bytes]) -> Iterator[bytes]:
-        """The ids of each text, so many texts together that a step has about STEP bytes."""
+        """The ids of each text, so many texts together that a step has about ``step`` bytes."""
         held, size = [], 0
         for t in texts:
             held.append(t)
             size += len(t)
-            if size >= STEP:
+            if size >= self.step:
                 yield from self.ids(held)
                 held, size = [], 0
         if held:
             yield from self.ids(held)
 
 
-def pieces(docs: DataFrame, length: int = LENGTH, path: str | None = None) -> DataFrame:
+def pieces(docs: DataFrame, length: int = LENGTH, path: str | None = None, words: int = WORDS, step: int = STEP) -> DataFrame:
     """did, piece, start, length, ids_crc32, and task, nth: its place among pieces of its length from its task."""
     path = path or vocabulary()
+    name = f"encoder {path} {words} {step}"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = common.memo(f"encoder {path}", lambda: Encoder(path))
+        encoder = common.memo(name, lambda: Encoder(path, words, step))
         task, seen = TaskContext.get().partitionId(), np.zeros(length + 1, np.int64)
         end = np.array([END], "<u4").tobytes()
         for b in batches:
@@ -160,7 +162,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, path: str | None = None) -> Da
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([did, *(pa.array(x, k) for x, k in zip(out[1:5], kinds, strict=True)), pa.array(np.full(len(did), task, np.int32)), pa.array(out[5], pa.int64())], ["did", "piece", "start", "length", "ids_crc32", "task", "nth"])
 
-    return common.over(common.keyed(docs), work, "did long, piece int, start long, length long, ids_crc32 long, task int, nth long", keeps=f"encoder {path}")
+    return common.over(common.keyed(docs), work, "did long, piece int, start long, length long, ids_crc32 long, task int, nth long", keeps=name)
 
 
 def least_bins(counts: np.ndarray, length: int) -> int:
@@ -296,9 +298,10 @@ def places(plan: list[tuple[tuple[int, ...], int]], length: int) -> np.ndarray:
     return np.array(sorted(out), np.int64).reshape(-1, 4)
 
 
-def packed(docs: DataFrame, length: int = LENGTH, path: str | None = None) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
-    cut = common.settle(pieces(docs, length, path), "pieces")
+def packed(docs: DataFrame, length: int = LENGTH, path: str | None = None, words: int = WORDS, step: int = STEP) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece. words, step: what a worker
+    remembers and handles at once, memory against time; the result is the same."""
+    cut = common.settle(pieces(docs, length, path, words, step), "pieces")
     by_task = cut.groupBy("length", "task").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     by_task = common.settle(by_task.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))), "counts")
