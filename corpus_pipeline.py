@@ -22,11 +22,6 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(*(F.col(c).cast(t).alias(c) for c, t in COLUMNS.items()), *keys)
 
 
-def _on(df: DataFrame) -> list:
-    did = df["did"] if "did" in df.columns else F.coalesce(df["doc_id"], F.lit(common.NULL_ID))
-    return [F.col("key_did") == did, F.col("key_h") == df["h"]]
-
-
 def _without(rows: DataFrame, bad: DataFrame) -> DataFrame:
     """rows but for those whose (did, h) bad holds."""
     return rows.join(bad, [rows["key_did"] == bad["did"], rows["key_h"] == bad["h"]], "left_anti").select(*COLUMNS)
@@ -45,12 +40,13 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier document has go; every document stays, if with an empty text."""
-    kept = line_dedup.applied(docs).where("n_dropped > 0").select("did", "h", F.col("kept").cast("string").alias("less")).dropDuplicates(["did", "h"])
-    rows = _rows(docs)
-    out = rows.join(kept, [rows["key_did"] == kept["did"], rows["key_h"] == kept["h"]], "left")
-    text = F.coalesce("less", "text").alias("text")
-    count = F.when(F.col("less").isNotNull(), F.length("less").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
-    return out.select("doc_id", text, "lang", "source", count)
+    rows = docs.select(*(F.col(c).cast(t).alias(c) for c, t in COLUMNS.items()), F.col("text").isNull().alias("none"))
+    out = line_dedup.applied(rows, carry=("lang", "source", "n_chars", "none"))
+    fewer, text = F.col("n_dropped") > 0, F.col("kept").cast("string")
+    return out.select(
+        common.doc_id(), F.when(fewer | ~F.col("x_none"), text).alias("text"), F.col("x_lang").alias("lang"), F.col("x_source").alias("source"),
+        F.when(fewer, F.length(text).cast("long")).otherwise(F.col("x_n_chars")).alias("n_chars"),
+    )
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,7 +71,8 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed(docs)
+    # executors have grown by now: half the memory for words, in smaller steps
+    return packing.packed(docs, words=300_000, step=1 << 21)
 
 
 STAGES = [("toxicity", toxic), ("line dedup", lines), ("near-dedup", near), ("decontamination", clean), ("packing", packs)]
