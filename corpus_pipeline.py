@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import common, decontam, line_dedup, packing, simhash, toxicity
+from granary.llm import common, decontam, line_dedup, minhash, packing, toxicity
 
 COLUMNS = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
 
@@ -50,8 +50,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates the smallest doc_id stays, of rows that repeat it one."""
-    found = simhash.near_duplicates(docs)
+    """Of documents that share 0.8 of their five-word shingles the smallest doc_id stays, of rows that repeat it one."""
+    found = common.settle(minhash.near_duplicates(docs), "found")
+    named = common.settle(found.groupBy("root").agg(F.min("did").alias("component")), "named")
+    found = found.join(named, "root")
     bad = common.settle(found.where("did <> component").select("did", "h").distinct(), "near")
     again = found.where("did = component").groupBy("did").agg(F.count("*").alias("n"), F.min("h").alias("least")).where("n > 1")
     left = _without(_rows(docs), bad)

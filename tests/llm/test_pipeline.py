@@ -11,7 +11,7 @@ import pytest
 pytest.importorskip("corpus_pipeline")
 
 import corpus_pipeline as pipeline  # noqa: E402
-from granary.llm import line_dedup, packing  # noqa: E402
+from granary.llm import line_dedup, minhash, packing  # noqa: E402
 
 COLUMNS = list(pipeline.COLUMNS)
 WORDS = [a + b for a in ("ba", "do", "ri", "ke", "lu", "ö") for b in ("n", "st", "mo", "x")]
@@ -99,3 +99,44 @@ def test_stages_take_empty_tables(spark, corpus):
     docs = spark.read.parquet(f"{corpus}/documents.parquet").limit(0)
     for _, stage in pipeline.STAGES:
         assert stage(spark, docs, corpus).count() == 0
+
+
+def near_of(spark, rows, tmp_path):
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    return [(r.doc_id, r.text) for r in pipeline.near(spark, docs, str(tmp_path)).collect()]
+
+
+def test_near_dedup_leaves_one_of_a_group(spark, tmp_path):
+    rng = random.Random(5)
+    rows, other = [], [(300 + k, prose(rng, 500)) for k in range(5)]
+    for group, edits in enumerate((1, 3, 5)):  # pairs have similarities of 0.96, 0.89 and 0.82
+        base = [f"{prose(rng, 1)}{k}" for k in range(500)]
+        for k in range(5):
+            words = list(base)
+            for x in range(edits):
+                words[50 * x + 7 * k] = f"changed{k}"
+            rows.append((10 * group + k, " ".join(words)))
+    far = [f"{prose(rng, 1)}{k}" for k in range(500)]
+    other += [(400, " ".join(far)), (401, " ".join("changed" if k % 10 == 3 else w for k, w in enumerate(far)))]  # 0.33
+    got = near_of(spark, rows + other, tmp_path)
+    assert sorted(d for d, _ in got) == [0, 10, 20, *sorted(d for d, _ in other)]
+
+
+def test_near_dedup_links_are_those_of_brute_force(spark, docs):
+    rng = random.Random(6)
+    base = [f"{prose(rng, 1)}{k}" for k in range(120)]
+    texts = ["", " ", "one two", "ONE  two"]
+    for _ in range(60):
+        words = list(base)
+        for _ in range(rng.randint(0, 5)):
+            words[rng.randrange(120)] = f"w{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    held = [set(minhash.shingles(t.encode()).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(held[i] & held[j])
+            if both >= 0.8 * (len(held[i]) + len(held[j]) - both) and root[i] != root[j]:
+                root = [root[j] if x == root[i] else x for x in root]
+    got = {r.did: r.root for r in minhash.near_duplicates(docs(texts)).collect()}
+    assert len(set(zip(root, (got[k] for k in range(len(texts))), strict=True))) == len(set(root)) == len(set(got.values())) > 4
