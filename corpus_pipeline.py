@@ -50,20 +50,20 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that share 0.8 of their five-word shingles the smallest doc_id stays, of rows that repeat it one."""
+    """Of documents that share 0.8 of their five-word shingles the smallest doc_id stays (a null is the smallest), of
+    its texts the one with the least hash, and of rows that repeat both one. Unlike documents stay whatever their ids."""
     found = common.settle(minhash.near_duplicates(docs), "found")
-    named = common.settle(found.groupBy("root").agg(F.min("did").alias("component")), "named")
-    found = found.join(named, "root")
-    bad = common.settle(found.where("did <> component").select("did", "h").distinct(), "near")
-    again = found.where("did = component").groupBy("did").agg(F.count("*").alias("n"), F.min("h").alias("least")).where("n > 1")
+    best = common.settle(found.groupBy("root").agg(F.min(F.struct("did", "h")).alias("best")), "best")
+    ranked = found.join(best, "root").select("did", "h", (F.struct("did", "h") == F.col("best")).alias("stays"))
+    bad = common.settle(ranked.where("not stays").select("did", "h").distinct(), "near")
+    again = common.settle(ranked.where("stays").groupBy("did", "h").count().where("count > 1").select("did", "h"), "again")
     left = _without(_rows(docs), bad)
-    again = common.settle(again, "again")
     if again.isEmpty():
         return left
     rows = _rows(left)
-    marked = rows.join(again, rows["key_did"] == again["did"], "left")
-    plain = marked.where("did is null").select(*COLUMNS)
-    return plain.unionByName(marked.where("key_h = least").dropDuplicates(["key_did"]).select(*COLUMNS))
+    on = [rows["key_did"] == again["did"], rows["key_h"] == again["h"]]
+    once = rows.join(again, on, "left_semi").dropDuplicates(["key_did", "key_h"])
+    return rows.join(again, on, "left_anti").select(*COLUMNS).unionByName(once.select(*COLUMNS))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -140,3 +140,11 @@ def test_near_dedup_links_are_those_of_brute_force(spark, docs):
                 root = [root[j] if x == root[i] else x for x in root]
     got = {r.did: r.root for r in minhash.near_duplicates(docs(texts)).collect()}
     assert len(set(zip(root, (got[k] for k in range(len(texts))), strict=True))) == len(set(root)) == len(set(got.values())) > 4
+
+
+def test_near_dedup_keeps_unlike_documents_of_one_id(spark, tmp_path):
+    rng = random.Random(7)
+    texts = [prose(rng, 60) for _ in range(6)]
+    rows = [*((None, t) for t in texts[:4]), (None, texts[0]), (8, texts[4]), (8, texts[5]), (8, texts[5]), (9, texts[5]), (7, texts[1])]
+    got = near_of(spark, rows, tmp_path)
+    assert sorted(got, key=str) == sorted([*((None, t) for t in texts[:4]), (8, texts[4]), (8, texts[5])], key=str)
