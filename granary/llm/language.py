@@ -5,7 +5,8 @@ Markup: the declared language, under a table of what is declared where the text
 Address suffix: the same for the last label of the host. Host: a prior smoothed from all pages to
 the registered domain to the host, the page's own share left out. All tables come from grouped
 aggregations over all pages; hosts are joined back by an equi-join that Spark can split where a
-host is hot. What reaches the driver is the trigram counts, of fixed size for each language.
+host is hot. What reaches the driver is the trigram counts, of fixed size for each language;
+all languages count, in blocks of 128 to a broadcast, and a worker holds 64 KB for each.
 
 Null html or url counts as empty, and its host, suffix or declaration is then one value like any other; null ids stay
 null; documents have a doc_id and no page_id, pages a page_id and no doc_id; rows that repeat are pages of their own. Without labelled documents there are no languages and lang is null.
@@ -14,7 +15,7 @@ null; documents have a doc_id and no page_id, pages a page_id and no doc_id; row
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from . import common
 
 BUCKETS = 1 << 13
+BLOCK = 128  # languages counted and broadcast at once: 8 MB
 UNSEEN = re.compile(rb"<!--.*?-->|<(script|style|noscript|nav)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
 DECLARED = re.compile(rb"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,8})", re.I)
 HOST = re.compile(rb"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", re.I)
@@ -58,29 +60,35 @@ def counted(docs: DataFrame) -> DataFrame:
     return common.over(rows, work, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def likelihoods(docs: DataFrame, most: int = 64) -> tuple[list[str], np.ndarray]:
-    """The languages, at most the ``most`` with the most text, and the logarithms of their trigrams' shares."""
+def likelihoods(docs: DataFrame, block: int = BLOCK) -> tuple[list[str], Iterator[np.ndarray]]:
+    """All languages, and by blocks of them in their order the logarithms of their trigrams' shares."""
     got = common.settle(counted(docs), "trigrams")
-    langs = sorted(r[0] for r in got.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect())
-    n = np.full((len(langs), BUCKETS), 0.5)
-    for lang, bucket, count in got.where(F.col("lang").isin(langs)).collect():  # languages by buckets
-        n[langs.index(lang), bucket] += count
-    return langs, np.log(n / n.sum(axis=1, keepdims=True)) if langs else n
+    langs = sorted(r[0] for r in got.select("lang").distinct().collect())
 
+    def tables() -> Iterator[np.ndarray]:
+        for k in range(0, len(langs), block):
+            at = {lang: i for i, lang in enumerate(langs[k : k + block])}
+            n = np.full((len(at), BUCKETS), 0.5)
+            for lang, bucket, count in got.where(F.col("lang").isin(list(at))).toLocalIterator():  # languages by buckets
+                n[at[lang], bucket] += count
+            yield np.log(n / n.sum(axis=1, keepdims=True))
 
-def evidence(pages: DataFrame, docs: DataFrame | None, langs: list[str], table: np.ndarray) -> DataFrame:
+    return langs, tables()
+
+
+def evidence(pages: DataFrame, docs: DataFrame | None, tables: Iterable[np.ndarray]) -> DataFrame:
     """page_id, doc_id, host, domain, suffix, declared, p: the text's posterior under equal priors, tempered for its length.
     Documents are pages without markup or address, whose source stands for the host."""
-    sent = pages.sparkSession.sparkContext.broadcast(table)  # at most 64 languages by BUCKETS
+    sent = [pages.sparkSession.sparkContext.broadcast(t) for t in tables]  # each at most BLOCK languages by BUCKETS
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sent.value
+        tables = [x.value for x in sent]
         for b in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
             for html, url, marked in zip(common.raw(b, "html"), common.raw(b, "url"), b.column("marked").to_pylist(), strict=True):
                 n = trigrams(visible(html) if marked else html)
                 # neighbouring trigrams overlap, so their evidence counts as that of the root of their number
-                logit = table @ n / max(1.0, float(n.sum()) ** 0.5)
+                logit = np.concatenate([t @ n for t in tables]) / max(1.0, float(n.sum()) ** 0.5)
                 p = np.exp(logit - logit.max())
                 if marked:
                     host = (m[1].lower().decode("utf-8", "replace") if (m := HOST.match(url)) else "").rstrip(".")
@@ -109,12 +117,12 @@ def _asked(pages: DataFrame, docs: DataFrame | None) -> DataFrame:
 def identified(pages: DataFrame, docs: DataFrame, weight: float = 5.0, also: DataFrame | None = None) -> DataFrame:
     """page_id, doc_id, host, declared, text_lang, lang, confidence, text_p of every page, and of every document of ``also``.
     docs: what the likelihoods are counted on. weight: of what a host's prior is smoothed with."""
-    langs, table = likelihoods(docs)
+    langs, tables = likelihoods(docs)
     if not langs:
         rows = _asked(pages, also)
         return rows.select("page_id", "doc_id", *(F.lit(None).cast("string").alias(c) for c in ("host", "declared", "text_lang", "lang")), F.lit(0.0).alias("confidence"), F.lit(0.0).alias("text_p"))
     size = len(langs)
-    seen = common.settle(evidence(pages, also, langs, table), "evidence")
+    seen = common.settle(evidence(pages, also, tables), "evidence")
     mass = F.array(*(F.sum(F.col("p")[k]) for k in range(size)))
 
     def add(a: F.Column, b: F.Column, f) -> F.Column:

@@ -180,6 +180,20 @@ def test_components(spark):
 # languages
 
 
+def test_language_knows_more_than_64(spark):
+    """The one with the least text too, and languages beyond a block."""
+    rng = random.Random(8)
+    said = {f"l{k:03}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)] for k in range(130)}
+    docs = spark.createDataFrame([(lang, " ".join(words * (1 if k == 129 else 3))) for k, (lang, words) in enumerate(said.items())], "lang string, text string")
+    pages = spark.createDataFrame([(k, f"http://h{k}.org/", " ".join(words)) for k, words in enumerate(said.values())], "page_id long, url string, html string")
+    langs, tables = language.likelihoods(docs)
+    assert langs == list(said) and [len(t) for t in tables] == [128, 2]
+    seen = language.evidence(pages, None, language.likelihoods(docs)[1]).select("page_id", "p").collect()
+    assert {r.page_id: langs[int(np.argmax(r.p))] for r in seen} == dict(enumerate(langs))
+    some = pages.where("page_id in (0, 64, 129)")
+    assert {r.page_id: r.lang for r in language.identified(some, docs).collect()} == {k: langs[k] for k in (0, 64, 129)}
+
+
 def test_language(spark):
     rng = random.Random(11)
     kinds = {"aa": ["foo", "bar", "fab"], "bb": ["zux", "wyx", "xyz"]}
