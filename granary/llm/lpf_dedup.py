@@ -7,10 +7,12 @@ hulls are collapsed to the first of them and a count. Anchors that occur once en
 Where several hulls share an anchor, they are gathered, put in suffix order, and previous
 and next smaller (larger) positions give each start its longest earlier (later) match.
 
-Anchors with more hulls than a block takes are not gathered: their strings are counted
-one by one by digest, an aggregation that combines before it shuffles. Texts are shuffled
-once, compressed, and then kept in buckets. All bytes of each text take part; matches
-never cross documents.
+An anchor with more hulls than a block should take is split before it is gathered: equal strings
+begin equally far before their anchor, so its hulls are cut into cells of neighbouring distances, and
+hulls whose cells have the same bytes in common meet again, equal ones collapsed as before. Cells get
+narrower until few hulls share one; one distance wide, they hold a single string. Texts are
+shuffled once, compressed, and then kept in buckets. All bytes of each text take part;
+matches never cross documents.
 
 Null text counts as empty; a null id counts as the smallest id; rows that repeat id and
 text are two documents, and so copies of each other, with one result. Ties between equal
@@ -31,6 +33,7 @@ from . import common
 from .suffix import factors
 
 SIZE, GRAM, HOT, BLOCK = 400, 100, 1024, 1 << 19
+WIDTHS = (32, 4, 1)  # distances from the anchor that a cell takes, for anchors with more hulls than HOT
 SLICE, PLACE = 1 << 20, 21  # starts handled at once, and bits for a place among them
 BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -44,17 +47,23 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return of(BASE), of(pow(BASE, -1, 1 << 64))
 
 
-def runs(buf: np.ndarray, valid: np.ndarray, size: int, gram: int, powers: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The hash of the anchor, the first and the last start of each run; valid: the starts that count."""
-    n, width = len(buf), size - gram + 1
+def _ordered(buf: np.ndarray, gram: int, powers: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each gram, and what orders them: its upper bits, then its place."""
+    n = len(buf)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(buf * powers[0][:n], out=sums[1:])
     grams = (sums[gram:] - sums[: n - gram + 1]) * powers[1][: n - gram + 1]
     grams ^= grams >> np.uint64(33)
     grams *= np.uint64(0xFF51AFD7ED558CCD)
     grams ^= grams >> np.uint64(29)
+    return grams, grams & ~np.uint64((1 << PLACE) - 1) | np.arange(len(grams), dtype=np.uint64)
+
+
+def runs(buf: np.ndarray, valid: np.ndarray, size: int, gram: int, powers: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hash of the anchor, the first and the last start of each run; valid: the starts that count."""
+    n, width = len(buf), size - gram + 1
+    grams, key = _ordered(buf, gram, powers)
     low = np.uint64((1 << PLACE) - 1)
-    key = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
     starts = n - size + 1
     padded = np.full(-(-len(key) // width) * width, ~np.uint64(0))
     padded[: len(key)] = key
@@ -122,7 +131,8 @@ def marked(docs: DataFrame, size: int, gram: int) -> DataFrame:
     return common.over(docs, work, "did long, h long, n_bytes long, sha binary, key array<long>, hull array<long>, lo array<int>, hi array<int>")
 
 
-SPAN = "did long, h long, lo int, hi int, again boolean"
+SPAN = "did long, h long, lo int, hi int"
+PART = "did long, h long, key long, m long, lo long, hi long, hull binary"
 
 
 def _spread(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,78 +141,63 @@ def _spread(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
 
 
-def block_spans(rows: list[tuple[int, int, int, int, int, bytes]], size: int) -> list[tuple[int, int, int, int, bool]]:
-    """For hulls (did, h, first start, last start, count, bytes): the runs of starts that repeat, absolute, and
-    those whose string has an earlier copy. Of hulls with a count over 1, only the latter are of use."""
+def block_spans(rows: list[tuple[int, int, int, int, int, bytes]], size: int, keep: str) -> list[tuple[int, int, int, int]]:
+    """For hulls (did, h, first start, last start, count, bytes): the bytes of strings that repeat, or with keep
+    "first" of those that have an earlier copy. Without, hulls with a count over 1 are settled already."""
     buf = np.frombuffer(b"".join(x[5] for x in rows) + bytes(8), np.uint8)
     sizes = np.array([len(x[5]) for x in rows])
     begin = np.cumsum(sizes) - sizes
     starts = np.concatenate([np.arange(o, o + n - size + 1) for o, n in zip(begin.tolist(), sizes.tolist(), strict=True)])
     before, after = factors(buf, starts, size)
+    found = before >= size if keep == "first" else (before >= size) | (after >= size)
     out, at = [], 0
     for x, n in zip(rows, (sizes - size + 1).tolist(), strict=True):
-        again = before[at : at + n] >= size
-        for is_again, hit in ((False, again | (after[at : at + n] >= size)), (True, again)):
-            if not hit.any() or x[4] > 1 and not is_again:
-                continue
-            out += [(x[0], x[1], x[2] + int(i), x[2] + int(j) + size, is_again) for i, j in zip(*_spread(hit), strict=True)]
+        hit = found[at : at + n]
         at += n
+        if hit.any() and (keep == "first" or x[4] == 1):
+            out += [(x[0], x[1], x[2] + int(i), x[2] + int(j) + size) for i, j in zip(*_spread(hit), strict=True)]
     return out
 
 
-def repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int = HOT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(did, h, n_bytes, sha of every row; did, h, z of the documents that may hold repeats; spans).
-
-    Spans (did, h, lo, hi, again) are bytes covered by strings that also start elsewhere, and, with
-    ``again``, by strings that also start earlier, in order of (doc_id, start)."""
-    rows = common.keyed(docs)
-    marks = common.settle(marked(rows, size, gram), "marked")
-    each = marks.select("did", "h", F.explode(F.arrays_zip("key", "hull", "lo", "hi")).alias("r"))
-    each = each.select("did", "h", "r.key", "r.hull", (F.shiftleft(F.col("r.lo").cast("long"), 32) + F.col("r.hi")).alias("at"))
-    twice = common.settle(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "twice")
-    shared = common.settle(each.join(twice, "key"), "shared")
-    hulls = shared.groupBy("key", "hull").agg(F.count("*").alias("m"), F.min(F.struct("did", "at", "h")).alias("first"))
-    hulls = common.settle(hulls, "hulls")
-    kinds = common.settle(hulls.groupBy("key").agg(F.count("*").alias("kinds")), "kinds")
-    hulls = common.settle(hulls.join(kinds, "key").where("kinds > 1 or m > 1"), "met")
-    lo, hi = F.shiftright("at", 32).cast("int"), (F.col("at").bitwiseAND(0xFFFFFFFF) + size).cast("int")
-    copies = shared.join(hulls.where("m > 1").select("key", "hull", "first"), ["key", "hull"])
-    later = F.struct("did", "at", "h") > F.col("first")
-    whole = copies.select("did", "h", lo.alias("lo"), hi.alias("hi"), F.explode(F.when(later, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("again"))
-    texts = common.packed(rows).hint("shuffle_hash").join(shared.select("did", "h").distinct(), ["did", "h"], "left_semi")
-    texts = common.settle_bucketed(texts.dropDuplicates(["did", "h"]), "repeated", ["did", "h"], common.width(docs.sparkSession))
-    wanted = hulls.where("kinds > 1").select("first.did", "first.h", F.struct("key", "m", "kinds", F.shiftright("first.at", 32).cast("int").alias("lo"), F.col("first.at").bitwiseAND(0xFFFFFFFF).cast("int").alias("hi")).alias("w"))
-    asked = wanted.groupBy("did", "h").agg(F.collect_list("w").alias("w"))  # at most a document's own runs
+def _cut(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """The bytes of wanted hulls (did, h, key, m, lo, hi)."""
+    asked = wanted.groupBy("did", "h").agg(F.collect_list(F.struct("key", "m", "lo", "hi")).alias("w"))  # at most a document's own runs
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = common.unpacker()
-        names = ("did", "h", "key", "m", "kinds", "lo", "hi")
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*rows, strict=True))
+            return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in cols[:6]), pa.array(cols[6], pa.binary())], ["did", "h", "key", "m", "lo", "hi", "hull"])
+
         for b in batches:
-            out: list[tuple] = []
+            rows: list[tuple] = []
             held = 0
             for did, h, z, want in zip(*(b.column(x).to_pylist() for x in ("did", "h", "z", "w")), strict=True):
                 t = unpack(z)
                 for w in want:
-                    out.append((did, h, w["key"], w["m"], w["kinds"], w["lo"], w["hi"], t[w["lo"] : w["hi"] + size]))
-                    held += len(out[-1][-1])
+                    rows.append((did, h, w["key"], w["m"], w["lo"], w["hi"], t[w["lo"] : w["hi"] + size]))
+                    held += len(rows[-1][-1])
                 if held > 1 << 23:
-                    yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in list(zip(*out, strict=True))[:7]), pa.array([x[7] for x in out], pa.binary())], [*names, "hull"])
-                    out, held = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in list(zip(*out, strict=True))[:7]), pa.array([x[7] for x in out], pa.binary())], [*names, "hull"])
+                    yield out(rows)
+                    rows, held = [], 0
+            if rows:
+                yield out(rows)
+
+    return common.over(texts.join(asked.hint("shuffle_hash"), ["did", "h"]), work, PART)
 
-    parts = common.over(texts.join(asked.hint("shuffle_hash"), ["did", "h"]), cut, "did long, h long, key long, m long, kinds long, lo long, hi long, hull binary")
-    few, many = parts.where(F.col("kinds") <= hot), parts.where(F.col("kinds") > hot)
 
-    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _solved(parts: DataFrame, size: int, keep: str) -> DataFrame:
+    """Spans of hulls that share anchors, by suffix order in blocks of whole anchors."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         total, last = 0, None
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
-            spans = block_spans(rows, size)
-            cols = list(zip(*spans, strict=True)) or [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["did", "h", "lo", "hi", "again"])
+            cols = list(zip(*block_spans(rows, size, keep), strict=True)) or [()] * 4
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["did", "h", "lo", "hi"])
 
         for b in batches:
             for key, *row in zip(*(b.column(x).to_pylist() for x in ("key", "did", "h", "lo", "hi", "m", "hull")), strict=True):
@@ -215,26 +210,85 @@ def repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int = HOT)
         if held:
             yield out(held)
 
-    n = common.width(docs.sparkSession)
-    solved = common.over(few.select("key", "did", "h", "lo", "hi", "m", "hull").repartition(n, "key").sortWithinPartitions("key", "did", "lo", "h"), solve, SPAN)
+    n = common.width(parts.sparkSession)
+    dealt = parts.select("key", "did", "h", "lo", "hi", "m", "hull").repartition(n, "key").sortWithinPartitions("key", "did", "lo", "h")
+    return common.over(dealt, work, SPAN)
+
+
+def cells(hull: bytes, key: int, width: int, size: int, gram: int, powers: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[int, int, int, bytes]]:
+    """A hull in parts, by how far before its anchor strings begin, ``width`` distances together: (key, first start,
+    last start, bytes). Equal strings lie equally far before their anchor, and all of a cell have its core in common,
+    so cells are told apart by key, distance and core, and equal strings stay together."""
+    from xxhash import xxh3_64_intdigest as digest
+
+    place = int(_ordered(np.frombuffer(hull[:size], np.uint8).astype(np.uint64), gram, powers)[1].argmin())
+    far, near = place, place - (len(hull) - size)  # of the first start and of the last
+    for c in range(near // width, far // width + 1):
+        lo, hi = max(near, c * width), min(far, c * width + width - 1)
+        core = hull[place - c * width : place - (c * width + width - 1) + size]
+        new = digest(b"%d %d " % (key, c) + core)
+        yield new - (1 << 64) * (new >> 63), place - hi, place - lo, hull[place - hi : place - lo + size]
+
 
-    def each_start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_digest as digest
+def _refined(parts: DataFrame, width: int, size: int, gram: int) -> DataFrame:
+    """Hulls as ``_shared`` takes them, cell by cell."""
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_intdigest as digest
+
+        powers = _powers(size)
         for b in batches:
-            for did, h, first, m, hull in zip(*(b.column(x).to_pylist() for x in ("did", "h", "lo", "m", "hull")), strict=True):
-                count = len(hull) - size + 1
-                d = [digest(hull[i : i + size]) for i in range(count)]
-                yield common.rows({"d": (d, pa.binary()), "did": (pa.array(np.full(count, did)), None), "lo": (pa.array(np.arange(first, first + count, dtype=np.int64)), None), "h": (pa.array(np.full(count, h)), None), "m": (pa.array(np.full(count, m)), None)})
+            out: tuple[list, ...] = ([], [], [], [], [], [])
+            for did, h, key, m, first, hull in zip(*(b.column(x).to_pylist() for x in ("did", "h", "key", "m", "lo", "hull")), strict=True):
+                for new, i, j, part in cells(hull, key, width, size, gram, powers):
+                    d = digest(part)
+                    for to, x in zip(out, (new, d - (1 << 64) * (d >> 63), did, h, first + i << 32 | first + j, m), strict=True):
+                        to.append(x)
+            yield common.rows(dict(zip(("key", "hull", "did", "h", "at", "m"), ((x, pa.int64()) for x in out), strict=True)))
+
+    return common.over(parts, work, "key long, hull long, did long, h long, at long, m long")
+
 
-    strings = common.settle(common.over(many.select("did", "h", "lo", "m", "hull"), each_start, "d binary, did long, lo long, h long, m long"), "strings")
-    met = common.settle(strings.groupBy("d").agg(F.sum("m").alias("n"), F.min(F.struct("did", "lo", "h")).alias("first")).where("n > 1"), "counted")
-    counted = strings.join(met, "d")
-    again = F.struct("did", "lo", "h") > F.col("first")
-    # a hull with copies is whole already, but for what an earlier string makes of its first
-    flags = F.filter(F.array(F.when(F.col("m") == 1, F.lit(False)), F.when(again, F.lit(True))), lambda x: x.isNotNull())
-    counted = counted.select("did", "h", F.col("lo").cast("int").alias("lo"), (F.col("lo") + size).cast("int").alias("hi"), F.explode(flags).alias("again"))
-    return marks.select("did", "h", "n_bytes", "sha"), texts, whole.unionByName(solved).unionByName(counted)
+def _shared(each: DataFrame, size: int, keep: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """For hulls (key, hull, did, h, at, m) those whose anchor others have, the spans of those that equal others, and, of
+    the anchors with different hulls, the first of each kind (did, h, key, m, lo, hi, kinds)."""
+    twice = common.settle(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "twice")
+    shared = common.settle(each.join(twice, "key"), "shared")
+    hulls = common.settle(shared.groupBy("key", "hull").agg(F.count("*").alias("n"), F.sum("m").alias("m"), F.min(F.struct("did", "at", "h")).alias("first")), "hulls")
+    kinds = common.settle(hulls.groupBy("key").agg(F.count("*").alias("kinds")), "kinds")
+    hulls = common.settle(hulls.join(kinds, "key").where("kinds > 1 or n > 1"), "met")
+    lo, hi = F.shiftright("at", 32).cast("int"), F.col("at").bitwiseAND(0xFFFFFFFF).cast("int")
+    copies = shared.join(hulls.where("n > 1").select("key", "hull", "first"), ["key", "hull"])
+    # without copies to keep, what counts more than once is settled already
+    copies = copies.where(F.struct("did", "at", "h") > F.col("first") if keep == "first" else F.col("m") == 1)
+    whole = copies.select("did", "h", lo.alias("lo"), (hi + size).alias("hi"))
+    wanted = hulls.where("kinds > 1").select("first.did", "first.h", "key", "m", F.col("first.at").alias("at"), "kinds")
+    return shared, whole, wanted.select("did", "h", "key", "m", lo.alias("lo"), hi.alias("hi"), "kinds")
+
+
+def repeats(docs: DataFrame, keep: str = "none", size: int = SIZE, gram: int = GRAM, hot: int = HOT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(did, h, n_bytes, sha of every row; did, h, z of the documents that may hold repeats; spans).
+
+    Spans (did, h, lo, hi) are bytes covered by strings that also start elsewhere, or with keep "first" by
+    strings that also start earlier, in order of (doc_id, start)."""
+    if keep not in ("none", "first"):
+        raise ValueError(f"keep is none or first, not {keep!r}")
+    rows = common.keyed(docs)
+    marks = common.settle(marked(rows, size, gram), "marked")
+    each = marks.select("did", "h", F.explode(F.arrays_zip("key", "hull", "lo", "hi")).alias("r"))
+    each = each.select("r.key", "r.hull", "did", "h", (F.shiftleft(F.col("r.lo").cast("long"), 32) + F.col("r.hi")).alias("at"), F.lit(1).cast("long").alias("m"))
+    shared, spans, wanted = _shared(each, size, keep)
+    texts = common.packed(rows).join(shared.select("did", "h").distinct().hint("shuffle_hash"), ["did", "h"], "left_semi")
+    texts = common.settle_bucketed(texts.dropDuplicates(["did", "h"]), "repeated", ["did", "h"], common.width(docs.sparkSession))
+    for width in WIDTHS:
+        many = wanted.where(F.col("kinds") > hot)
+        if many.isEmpty():
+            break
+        spans = spans.unionByName(_solved(_cut(texts, wanted.where(F.col("kinds") <= hot), size), size, keep))
+        _, more, wanted = _shared(_refined(_cut(texts, many, size), width, size, gram), size, keep)
+        spans = spans.unionByName(more)
+    # in cells one distance wide all hulls of a key are equal, so that nothing is wanted
+    return marks.select("did", "h", "n_bytes", "sha"), texts, spans.unionByName(_solved(_cut(texts, wanted, size), size, keep))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -250,9 +304,9 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def removed(docs: DataFrame, keep: str = "none", size: int = SIZE, gram: int = GRAM, hot: int = HOT, texts: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row, with ``texts`` also did, h and what is kept of
     each document that loses bytes. keep: "none" removes every copy of a repeat, "first" all but the earliest."""
-    every, held, spans = repeats(docs, size, gram, hot)
-    gone = spans.where(F.col("again") if keep == "first" else ~F.col("again"))
-    by_doc = gone.groupBy("did", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    every, held, spans = repeats(docs, keep, size, gram, hot)
+    # a row that is repeated as a whole has the same spans twice
+    by_doc = spans.groupBy("did", "h").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = common.unpacker()
