@@ -4,13 +4,14 @@ Nulls are missing values, so Spark's three-valued logic is the table's. What Spa
 is said differently here: NaN is present but satisfies no comparison; integers and floats compare as
 the numbers they are, at any size; labels compare by code; a value that no row can have is never matched by
 a row that is present, and unknown for one that is missing. Everything stays an expression on the bare
-column, so that Parquet filters are still pushed down.
+column, so that Parquet filters are still pushed down. Over other inputs, whose fills and labels are not
+nulls and codes, ``over_source`` says when a predicate is true on the columns as they come.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from decimal import Decimal
 from fractions import Fraction
 from numbers import Integral, Real
@@ -19,6 +20,7 @@ from typing import Any
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import SchemaError
 from ..functions import types as t
@@ -196,3 +198,76 @@ def column(e: Expression | None, specs: Mapping[str, Spec]) -> Column | None:
         it = iter(parts)
         parts = [x if (y := next(it, None)) is None else x & y if isinstance(e, And) else x | y for x in it]
     return parts[0]
+
+
+def _labels_that(spec: ColumnSpec, op: str, value: Any) -> list[Any]:
+    """The labels that a comparison holds for."""
+    labels = list(spec.categories or ())
+    if op == "in":
+        wanted = {code_of(spec, v) for v in value if v is not None}
+        return [x for k, x in enumerate(labels) if k in wanted]
+    code = code_of(spec, value)
+    if code is None:
+        return []
+    holds: Callable[[int], bool] = {"==": code.__eq__, "<": code.__gt__, "<=": code.__ge__, ">": code.__lt__, ">=": code.__le__}[op]
+    return [x for k, x in enumerate(labels) if holds(k)]
+
+
+def _near(c: Column, spec: ColumnSpec, op: str, value: Any) -> Column | None:
+    """For text that may have null bytes at its end, bounds on the bare column that a comparison implies."""
+    given = list(value) if op == "in" else [value]
+    given = [bytes(v).rstrip(b"\0").decode("utf-8", "replace") if isinstance(v, bytes | bytearray) else str(v) for v in given]
+    if not given or any("\ufffd" in v for v in given):
+        return None
+    low, high = (f(given, key=lambda v: v.encode()) for f in (min, max))
+    out = [c >= F.lit(low)] if op in ("==", "in", ">", ">=") else []
+    out += [c <= F.lit(high + "\0" * spec.dtype.nbytes)] if op in ("==", "in", "<", "<=") else []  # type: ignore[union-attr]
+    return out[0] if len(out) == 1 else out[0] & out[1]
+
+
+def _source_leaf(leaf: Leaf, negated: bool, spec: Spec, c: Column, given: T.DataType, stored: Column) -> Column:
+    """When a comparison, or its opposite, is true of a column as it comes; stored: the column as it would be stored."""
+    leaf_column(stored, spec, leaf.op, leaf.value)  # for its errors
+    whole = isinstance(given, T.ByteType | T.ShortType | T.IntegerType | T.LongType)
+    text = isinstance(given, T.StringType)
+    if spec.is_categorical and text and all(isinstance(x, str) for x in spec.categories or ()):
+        if leaf.op in ("null", "valid"):
+            return c.isNull() if (leaf.op == "null") != negated else c.isNotNull()
+        hold = _labels_that(spec, leaf.op, leaf.value)
+        some = [x for x in spec.categories or () if (x in hold) != negated]
+        return c.isin(some) if some else F.lit(False)
+    fixed = isinstance(spec.dtype, t.FixedString)
+    if spec.is_categorical or t.is_opaque(spec.dtype) or not (t.is_integer(spec.dtype) and spec.dtype != "uint64" and whole or given == t.stored(spec.dtype)) or t.is_float(spec.dtype) and given != t.stored(spec.dtype):
+        out = leaf_column(stored, spec, leaf.op, leaf.value)
+        return ~out if negated else out
+    bare, near = c, None
+    if fixed:
+        bare = F.rtrim(c, F.lit("\0"))
+        near = None if negated or leaf.op in ("null", "valid") else _near(c, spec, leaf.op, leaf.value)
+    there = c.isNotNull()
+    if spec.fill_value is not None and not spec.is_boolean:
+        # a literal of the wider type: Spark takes the cast off the column again
+        there = there & (~F.isnan(bare) if t.is_nan(spec.fill_value) else bare != t.constant(spec.dtype, spec.fill_value))
+    if leaf.op in ("null", "valid"):
+        if not spec.nullable:
+            return F.lit((leaf.op == "valid") != negated)
+        return there if (leaf.op == "valid") != negated else ~there
+    out = leaf_column(bare, spec, leaf.op, leaf.value)
+    out = (~out if negated else out) & there
+    return out if near is None else near & out
+
+
+def over_source(e: Expression, specs: Mapping[str, Spec], source: Mapping[str, tuple[Column, T.DataType, Column]], negated: bool = False) -> Column:
+    """A column that is true for the rows that match, on the columns as they come: of each its bare column, its type,
+    and how it would be stored. Negations are taken down to the comparisons, of which the truth of either side is
+    said for rows that are present, so that no third value is needed and nothing hides the column from the scan."""
+    if isinstance(e, Leaf):
+        return _source_leaf(e, negated, specs[e.name], *source[e.name])
+    if isinstance(e, Not):
+        return over_source(e.part, specs, source, not negated)
+    parts = [over_source(x, specs, source, negated) for x in e.parts]
+    both = isinstance(e, And) != negated
+    while len(parts) > 1:
+        it = iter(parts)
+        parts = [x if (y := next(it, None)) is None else x & y if both else x | y for x in it]
+    return parts[0]

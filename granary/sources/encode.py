@@ -41,9 +41,37 @@ def _checked(ok: Column, c: Column, kind: str, text: str) -> Column:
     return F.when(c.isNull() | ok, c).otherwise(refuse(kind, text))
 
 
-def _leaf(c: Column, dtype: t.Logical, fill: Any, where: str) -> Column:
+_WHOLE = {T.ByteType(): 7, T.ShortType(): 15, T.IntegerType(): 31, T.LongType(): 63}  # bits beside the sign
+
+
+def _integer(c: Column, dtype: str, given: T.DataType | None, text: str) -> Column:
+    """An integer column, with no more checks than the type that it comes as leaves open."""
+    kind, (lo, hi) = t.stored(dtype), t.limits(dtype)
+    if given in _WHOLE:
+        least, most = -(1 << _WHOLE[given]), (1 << _WHOLE[given]) - 1
+        if lo <= least and most <= hi:
+            return c.cast(kind)
+        ok = c.between(F.lit(max(lo, least)).cast(given), F.lit(min(hi, most)).cast(given))
+    elif isinstance(given, T.FloatType | T.DoubleType):
+        wide = c.cast("double")  # the limits are powers of two, or lie between them and the last double before
+        ok = (wide >= float(lo)) & ((wide < float(hi + 1)) if hi + 1 == int(float(hi + 1)) else (wide <= float(hi))) & (wide == F.floor(wide).cast("double"))
+        sound = _checked(F.coalesce(ok, F.lit(False)), wide, "granary-schema", text)
+        if dtype != "uint64":
+            return sound.cast(kind)
+        half = 1 << 63  # Spark makes decimals of a double's digits; integers it makes exactly
+        upper = (sound - F.lit(float(half))).cast("long").cast(kind) + F.lit(str(half)).cast(kind)
+        return F.when(sound < float(half), sound.cast("long").cast(kind)).otherwise(upper.cast(kind))
+    else:
+        wide = c if isinstance(given, T.DecimalType) else c.cast("decimal(38,18)")
+        ok = wide.between(F.lit(str(lo)).cast("decimal(20,0)"), F.lit(str(hi)).cast("decimal(20,0)")) & (wide % 1 == 0)
+    return _checked(F.coalesce(ok, F.lit(False)), c, "granary-schema", text).cast(kind)
+
+
+def _leaf(c: Column, dtype: t.Logical, fill: Any, where: str, given: T.DataType | None = None) -> Column:
     kind = t.stored(dtype)
     if dtype == "bool":
+        if isinstance(given, T.BooleanType):
+            return c
         return _checked(c.cast("double").isin(0.0, 1.0), c, "granary-schema", f"{where} takes true and false, 0 and 1").cast("boolean")
     if isinstance(dtype, t.FixedString):
         c = F.rtrim(c, F.lit("\0"))
@@ -54,33 +82,42 @@ def _leaf(c: Column, dtype: t.Logical, fill: Any, where: str) -> Column:
         c = _checked(F.octet_length(c.cast("binary")) == dtype.nbytes, c.cast("binary"), "granary-schema", f"{where} takes {dtype.nbytes} bytes")
     elif t.is_integer(dtype):
         lo, hi = t.limits(dtype)
-        wide = c.cast("decimal(38,6)")
-        whole = wide.between(F.lit(str(lo)).cast("decimal(38,6)"), F.lit(str(hi)).cast("decimal(38,6)")) & (wide % 1 == 0)
-        c = _checked(F.coalesce(whole, F.lit(False)), c, "granary-schema", f"{where} takes integers from {lo} to {hi}").cast(kind)
+        c = _integer(c, dtype, given, f"{where} takes integers from {lo} to {hi}")
     else:
         c = c.cast(kind)
     return t.missing_to_null(c, dtype, fill)
 
 
-def _elements(c: Column, values: Any, where: str) -> Column:
+def _elements(c: Column, values: Any, where: str, given: T.DataType | None = None) -> Column:
+    given = given.elementType if isinstance(given, T.ArrayType) else None
     if isinstance(values, NestedList):
-        inner = F.transform(c, lambda x: _elements(x, values.values, where))
+        inner = F.transform(c, lambda x: _elements(x, values.values, where, given))
         ok = F.lit(True) if values.nullable else ~F.coalesce(F.exists(c, lambda x: x.isNull()), F.lit(False))
         return _checked(ok, inner, "granary-schema", f"{where} has no room for a list that is missing")
     if isinstance(values, StringValues):
         ok = F.lit(True) if values.nullable else ~F.coalesce(F.exists(c, lambda x: x.isNull()), F.lit(False))
         return _checked(ok, c, "granary-schema", f"{where} has no room for text that is missing")
-    out = F.transform(c, lambda x: _leaf(x, values.dtype, values.fill_value, where))
+    if given == t.stored(values.dtype) and values.fill_value is None and not t.is_opaque(values.dtype) and not isinstance(values.dtype, t.FixedString) and values.dtype != "bool" and _bare(values.dtype, given):
+        return c
+    out = F.transform(c, lambda x: _leaf(x, values.dtype, values.fill_value, where, given))
     if values.dtype == "bool":
         out = _checked(~F.coalesce(F.exists(c, lambda x: x.isNull()), F.lit(False)), out, "granary-schema", f"{where} takes true and false, never missing")
     return out
 
 
-def stored_column(spec: Spec, c: Column, codes: bool = False) -> Column:
-    """A given column as it is stored; codes: whether labels come as codes already."""
+def _bare(dtype: t.Logical, given: T.DataType | None) -> bool:
+    """Whether every value of a given type is one of the logical type, as it is."""
+    if t.is_integer(dtype):
+        lo, hi = t.limits(dtype)  # type: ignore[arg-type]
+        return given in _WHOLE and lo <= -(1 << _WHOLE[given]) and (1 << _WHOLE[given]) - 1 <= hi
+    return given == t.stored(dtype) and (t.is_float(dtype) or dtype in ("bool", "string"))
+
+
+def stored_column(spec: Spec, c: Column, codes: bool = False, given: T.DataType | None = None) -> Column:
+    """A given column as it is stored; codes: whether labels come as codes already; given: the type that it has, if known."""
     where = f"column {spec.name!r}"
     if isinstance(spec, ListColumnSpec):
-        out = _elements(c, spec.values, where)
+        out = _elements(c, spec.values, where, given)
         return out if spec.nullable else F.when(c.isNotNull(), out).otherwise(refuse("granary-schema", f"{where} has no room for a row that is missing"))
     if spec.is_categorical and not codes:
         labels = spec.categories or []
@@ -93,7 +130,7 @@ def stored_column(spec: Spec, c: Column, codes: bool = False) -> Column:
         n = len(spec.categories or [])
         gone = t.missing_to_null(c.cast(spec.stored()), spec.dtype, spec.fill_value)
         return _checked(gone.between(0, n - 1), gone, "granary-code", f"{where} has {n} labels")
-    out = _leaf(c, spec.dtype, spec.fill_value, where)
+    out = _leaf(c, spec.dtype, spec.fill_value, where, given)
     if spec.is_boolean:
         return F.when(c.isNotNull(), out).otherwise(refuse("granary-schema", f"{where} is boolean and never missing"))
     return out
@@ -111,9 +148,9 @@ def incoming(spec: TableSpec, df: DataFrame) -> DataFrame:
     names = [c.name for c in spec.ordered()]
     if unknown := [c for c in df.columns if c not in names]:
         raise SchemaError(f"there are no columns {unknown}")
-    given = set(df.columns)
+    given = {f.name: f.dataType for f in df.schema.fields}
     quoted = {c: F.col(f"`{c.replace('`', '``')}`") for c in names}
-    return df.select(*((stored_column(c, quoted[c.name]) if c.name in given else absent(c)).alias(c.name) for c in spec.ordered()))
+    return df.select(*((stored_column(c, quoted[c.name], given=given[c.name]) if c.name in given else absent(c)).alias(c.name) for c in spec.ordered()))
 
 
 def _plain(x: Any) -> Any:

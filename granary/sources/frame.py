@@ -188,6 +188,10 @@ class Reader:
         got = df.orderBy(*order).select(*((decoded if masked else filled)(self.specs[c]) for c in wanted)).toArrow()
         return {c: masked_array(got.column(k), self.specs[c], masked) for k, c in enumerate(wanted)}
 
+    def matching(self, e: Expression) -> DataFrame:
+        """The rows that match a validated predicate."""
+        return self.rows.where(compiler.column(e, self.specs))
+
     # what indexes know, for those that have any
 
     def valid_indexes(self, name: str) -> dict[str, Any]:
@@ -210,7 +214,7 @@ class Selection:
     def rows(self) -> DataFrame:
         """Matching rows as stored, with positions, in no order."""
         e = self.expression
-        return self.table.rows if e is None else self.table.rows.where(compiler.column(e, self.table.specs))
+        return self.table.rows if e is None else self.table.matching(e)
 
     @property
     def df(self) -> DataFrame:
@@ -338,14 +342,28 @@ class ListColumn(_Named):
         self.nullable = spec.nullable
 
 
+class Foreign(Reader):
+    """Rows of any DataFrame. Predicates are on its columns as they come, so that its scan sees them."""
+
+    def __init__(self, spec: TableSpec, df: DataFrame, position: str):
+        from . import encode
+
+        given = {f.name: f.dataType for f in df.schema.fields}
+        self._given = df
+        self._source = {c.name: (quoted(c.name), given[c.name], encode.stored_column(c, quoted(c.name), given=given[c.name])) for c in spec.ordered()}
+        self._stored = [quoted(position).cast("long").alias(t.POSITION), *(x[2].alias(name) for name, x in self._source.items())]
+        super().__init__(df.sparkSession, spec, df.select(*self._stored))
+
+    def matching(self, e: Expression) -> DataFrame:
+        return self._given.where(compiler.over_source(e, self.specs, self._source)).select(*self._stored)
+
+
 def over(df: DataFrame, specs: list[Spec] | TableSpec, position: str) -> Reader:
     """A reader of any DataFrame whose column ``position`` numbers its rows from 0 on. Categorical columns hold
-    labels, which become codes; what equals a fill becomes missing."""
+    labels, which become codes; what equals a fill becomes missing. A value that its column cannot hold is an error
+    wherever the column is read; rows that a predicate leaves out are not."""
     spec = specs if isinstance(specs, TableSpec) else TableSpec(list(specs))
-    from . import encode
-
     for c in spec.ordered():
         if c.name not in df.columns:
             raise ConformanceError(f"there is no column {c.name!r}")
-    cols = [encode.stored_column(c, quoted(c.name)).alias(c.name) for c in spec.ordered()]
-    return Reader(df.sparkSession, spec, df.select(quoted(position).cast("long").alias(t.POSITION), *cols))
+    return Foreign(spec, df, position)
