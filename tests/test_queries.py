@@ -3,39 +3,65 @@
 from __future__ import annotations
 
 import math
+import random
 from decimal import Decimal
 from fractions import Fraction
 
 import numpy as np
 import pytest
-from granary import ColumnSpec, FixedString, LeafValues, ListColumnSpec, SchemaError, Table, TableSpec, field
+from granary import ColumnSpec, FixedString, LeafValues, ListColumnSpec, SchemaError, Table, TableSpec, field, over
 from granary.plans import expr
 
-SIZES = ["S", "M", "L", "XL"]
-N = 20
-DATA = {
-    "x": [None if k in (4, 13) else k for k in range(N)],
-    "y": [None if k in (2, 9) else float(k) for k in range(N)],
-    "s": [None if k == 7 else f"r{k:02d}" for k in range(N)],
-    "ok": [k % 3 == 0 for k in range(N)],
-    "size": [None if k == 5 else SIZES[k % 4] for k in range(N)],
-    "f": [float("nan") if k in (3, 11) else k / 2 for k in range(N)],
-}
+GRADES = ["waste", "feed", "mill", "seed"]
+NAN = float("nan")
 SPECS = [
-    ColumnSpec("x", "int64", fill_value=-1), ColumnSpec("y", "float64", fill_value=float("nan")), ColumnSpec("s", FixedString(6)), ColumnSpec("ok", "bool"),
-    ColumnSpec("size", "int8", categories=SIZES, ordered=True), ColumnSpec("f", "float64"),
+    ColumnSpec("tons", "int32", fill_value=-500), ColumnSpec("wet", "float32", fill_value=-8.0), ColumnSpec("silo", FixedString(7)), ColumnSpec("sold", "bool"),
+    ColumnSpec("grade", None, categories=GRADES, ordered=True), ColumnSpec("price", "float64"),
 ]
+TONS, WET, SILO, SOLD, GRADE, PRICE = (field(c.name) for c in SPECS)
+# what rows have, and what predicates ask for besides
+POOLS = {
+    "tons": [-70, -3, 0, 1, 12, 13, 40, 2**31 - 1], "wet": [-0.5, 0.25, 14.0, 14.5, 90.0], "silo": ["", "east", "east 2", "north", "süd", "zz"],
+    "sold": [False, True], "grade": GRADES, "price": [-2.0, 0.0, 17.5, 18.0, 1e300, NAN],
+}
+ASKED = {
+    "tons": [-70.5, 12.5, 2**40, -(2**90), math.inf, -math.inf, Decimal("13"), Fraction(25, 2), 2**31], "wet": [14.25, 0.1, 10**60, math.inf, Fraction(1, 4)], "silo": ["east 1", "eastern", b"north", b"\xff", "a long name"],
+    "sold": [0, 1, 2, 0.5], "grade": [], "price": [17.75, 2**60, math.inf, -math.inf, Decimal("17.5")],
+}
+
+
+def harvest(n, seed=29):
+    rng = random.Random(seed)
+    return {c: [None if c not in ("sold", "price") and rng.random() < 0.2 else rng.choice(pool) for _ in range(n)] for c, pool in POOLS.items()}
+
+
+N = 48
+DATA = harvest(N) | {"silo": [x or None for x in harvest(N)["silo"]]}
+
+
+def predicate(rng, depth):
+    """A predicate from a grammar: comparisons, memberships, null tests, and what joins them."""
+    if depth and rng.random() < 0.6:
+        kind = rng.choice("&|~")
+        left = predicate(rng, depth - 1)
+        return ~left if kind == "~" else left & predicate(rng, depth - 1) if kind == "&" else left | predicate(rng, depth - 1)
+    name = rng.choice(list(POOLS))
+    c, known = field(name), [x for x in POOLS[name] if x == x]
+    some = known + ASKED[name]
+    kind = rng.choice(["null", "valid", "in", *["order"] * 6])
+    if kind == "null":
+        return c.is_null()
+    if kind == "valid":
+        return c.is_valid()
+    if kind == "in":
+        return c.isin(rng.sample(some, rng.randint(0, min(4, len(some)))) + (["no grade"] if name == "grade" else []))
+    if name == "grade" and rng.random() < 0.2:
+        return rng.choice([c == "no grade", c != "no grade"])
+    value = rng.choice(some)
+    return rng.choice([c == value, c != value, c < value, c <= value, c > value, c >= value])
 
-X, Y, S, OK, SIZE, FF = (field(c) for c in ("x", "y", "s", "ok", "size", "f"))
-BATTERY = [
-    X > 15, X <= 3, X == 7, X != 7, (X >= 10) & (X < 15), (X < 2) | (X > 17), ~(X > 10), X.isin([3, 7, 11, 4]), ~X.isin([3, 7, 11]), X.isin([]), ~X.isin([]),
-    S >= "r05", S == "r03", S != "r03", S.isin(["r01", b"r02", "r19"]), S > "r0999999", S < b"\xff", OK == True, OK != True, ~(OK == False), OK == 1, OK > 0, OK == 2,  # noqa: E712
-    SIZE == "M", SIZE.isin(["S", "L", "?"]), SIZE < "L", SIZE >= "M", SIZE != "M", SIZE == "?", SIZE != "?", Y > 5.0, Y >= 15.0, Y < 3.0, Y != 5,
-    X.is_null(), X.is_valid(), Y.is_null(), S.is_null(), SIZE.is_null(), OK.is_null(), OK.is_valid(), ~X.is_valid(), (X > 5) & (SIZE == "M"), (X > 5) | Y.is_null(),
-    SIZE.isin(["S", "L"]) & ~(X == 7), (X < 3) | (SIZE == "XL") | S.is_null(), X > 2.5, X == 2.5, X != 2.5, X >= math.inf, X < math.inf, X > -math.inf, X < 2**70, X == 2**70, X > -(2**70),
-    FF > 5, FF < 5, FF == 5, FF != 5, ~(FF > 5), ~(FF < 5), FF.isin([1, 2.5]), ~FF.isin([1, 2.5]), FF < math.inf, FF <= math.inf, ~(FF <= math.inf), FF.is_null(),
-    X == Decimal("7"), X > Fraction(15, 2), ~((X > 5) & (SIZE == "M")), ~((X > 5) | (Y < 3)), (X > 3) & (X > 5) & (X < 9),
-]
+
+PREDICATES = [predicate(random.Random(seed), seed % 4) for seed in range(260)]
 
 
 def truth(value, column, op, other):
@@ -47,10 +73,12 @@ def truth(value, column, op, other):
     if op == "in":
         return any(truth(value, column, "==", o) for o in other)
     other = other.decode("latin1") if isinstance(other, bytes) and not other.isascii() else other.decode() if isinstance(other, bytes) else other
-    if column == "size":
-        if other not in SIZES:
+    if column == "grade":
+        if other not in GRADES:
             return False
-        value, other = SIZES.index(value), SIZES.index(other)
+        value, other = GRADES.index(value), GRADES.index(other)
+    if isinstance(value, str):
+        value, other = value.encode(), other.encode("latin1") if other == "\xff" else other.encode()
     if isinstance(value, float) and math.isnan(value):
         return False
     return {"==": value == other, "<": value < other, "<=": value <= other, ">": value > other, ">=": value >= other}[op]
@@ -69,56 +97,81 @@ def holds(e, row):
 
 
 def expected(e, data=DATA):
-    return [k for k in range(len(data["x"])) if holds(e, {c: v[k] for c, v in data.items()})]
+    return [k for k in range(len(data["tons"])) if holds(e, {c: v[k] for c, v in data.items()})]
 
 
-KINDS = {"none": {}, "bounds": dict.fromkeys(("x", "y", "s", "ok", "size", "f"), "CHUNK_MINMAX"), "sorted": dict.fromkeys(("x", "y", "s", "size", "f"), "SORTED_ROWS"), "bitmap": dict.fromkeys(("x", "s", "ok", "size", "f"), "BITMAP")}
+KINDS = {"none": {}, "bounds": dict.fromkeys(("tons", "wet", "grade", "price", "sold", "silo"), "CHUNK_MINMAX"), "sorted": dict.fromkeys(("tons", "wet", "silo", "grade", "price"), "SORTED_ROWS"), "bitmap": dict.fromkeys(("tons", "silo", "sold", "grade", "price"), "BITMAP")}
 
 
 @pytest.fixture(scope="module")
 def tables(spark, tmp_path_factory):
     out = {}
     for name, kinds in KINDS.items():
-        t = Table.from_arrays(spark, str(tmp_path_factory.mktemp("t") / name), DATA, SPECS, chunk_rows=4)
+        t = Table.from_arrays(spark, str(tmp_path_factory.mktemp("t") / name), DATA, SPECS, chunk_rows=5)
         for c, kind in kinds.items():
             t.add_search_index(c, kind)
         out[name] = t
-    stale = Table.from_arrays(spark, str(tmp_path_factory.mktemp("t") / "stale"), {c: v[:17] for c, v in DATA.items()}, SPECS, chunk_rows=4)
+    stale = Table.from_arrays(spark, str(tmp_path_factory.mktemp("t") / "stale"), {c: v[:31] for c, v in DATA.items()}, SPECS, chunk_rows=5)
     for c, kind in KINDS["bounds"].items():
         stale.add_search_index(c, kind)
-    stale.append({c: v[17:] for c, v in DATA.items()})
+    stale.append({c: v[31:] for c, v in DATA.items()})
     out["stale"] = stale
     return out
 
 
 @pytest.mark.parametrize("name", [*KINDS, "stale"])
-def test_battery(tables, name):
+def test_predicates(tables, name):
     from granary.plans import compile as compiler
-    from pyspark.sql import functions as F
 
     t = tables[name]
     # one scan answers all predicates
-    cols = [compiler.column(compiler.validated(e, t.specs), t.specs).alias(f"e{k}") for k, e in enumerate(BATTERY)]
+    cols = [compiler.column(compiler.validated(e, t.specs), t.specs).alias(f"e{k}") for k, e in enumerate(PREDICATES)]
     rows = t.rows.select("__pos", *cols).orderBy("__pos").collect()
     assert len(rows) == N
-    for k, e in enumerate(BATTERY):
+    for k, e in enumerate(PREDICATES):
         assert [r["__pos"] for r in rows if r[f"e{k}"]] == expected(e), repr(e)
     if name in ("bounds", "stale"):
-        for e in BATTERY[:6] + [(X > 3) & (Y < 8)]:
-            got = [r[0] for r in t.select(e).pruned().select("__pos").orderBy(F.col("__pos")).collect()]
-            assert got == expected(e)
+        for e in [p for p in PREDICATES if isinstance(p, expr.Leaf | expr.And)][:12] + [(TONS > 0) & (WET < 20)]:
+            got = [r[0] for r in t.select(e).pruned().select("__pos").orderBy("__pos").collect()]
+            assert got == expected(e), repr(e)
+
+
+def foreign(spark):
+    """The same rows as another input has them: fills and labels as values, null bytes after text."""
+    from pyspark.sql import types as T
+
+    given = [(k, -500 if DATA["tons"][k] is None and k % 2 else DATA["tons"][k], -8.0 if DATA["wet"][k] is None and k % 3 else DATA["wet"][k], None if DATA["silo"][k] is None else DATA["silo"][k] + "\0" * (k % 3), *(DATA[c][k] for c in ("sold", "grade", "price"))) for k in range(N)]
+    kinds = [("row", T.LongType()), ("tons", T.LongType()), ("wet", T.FloatType()), ("silo", T.StringType()), ("sold", T.BooleanType()), ("grade", T.StringType()), ("price", T.DoubleType())]
+    return spark.createDataFrame(given, T.StructType([T.StructField(n, k) for n, k in kinds]))
+
+
+def test_predicates_over_other_inputs(spark):
+    """On the columns as they come, predicates say what they say on stored ones."""
+    from granary.plans import compile as compiler
+
+    t = over(foreign(spark), SPECS, "row")
+    cols = [compiler.over_source(compiler.validated(e, t.specs), t.specs, t._source).alias(f"e{k}") for k, e in enumerate(PREDICATES)]
+    rows = t._given.select("row", *cols).orderBy("row").collect()
+    for k, e in enumerate(PREDICATES):
+        assert [r["row"] for r in rows if r[f"e{k}"]] == expected(e), repr(e)
+    for e in (PREDICATES[3], (TONS > 0) & ~(GRADE == "mill")):
+        assert t.select(e).row_positions.tolist() == expected(e)
+    assert t.read(["silo", "tons"])["silo"].tolist() == DATA["silo"]
 
 
 def test_known_answers(tables):
     t = tables["none"]
-    assert t.select(~(X > 10)).row_positions.tolist() == [0, 1, 2, 3, 5, 6, 7, 8, 9, 10]
-    s = t.select([("x", ">=", 10), ("x", "<=", 12)])
-    assert (s.count(), len(s), s.row_positions.tolist()) == (3, 3, [10, 11, 12])
-    got, plan = t.read(["x", "s", "x"], where=[[("x", "=", 1)], [("s", "in", {"r05"}), ("ok", "!=", True)]], explain=True)
-    assert list(got) == ["x", "s"] and got["x"].tolist() == [1, 5] and got["s"].tolist() == ["r01", "r05"]
-    assert plan.rows == 2 and plan.terms == 2 and "scan" in str(plan)
+    for e in (~(TONS > 10), (GRADE >= "mill") & SOLD.is_valid(), WET.is_null() | (PRICE > 17)):
+        assert t.select(e).row_positions.tolist() == expected(e)
+    s = t.select([("tons", ">=", 12), ("tons", "<=", 13)])
+    want = [k for k, x in enumerate(DATA["tons"]) if x in (12, 13)]
+    assert want and (s.count(), len(s), s.row_positions.tolist()) == (len(want), len(want), want)
+    got, plan = t.read(["silo", "tons", "silo"], where=[[("tons", "=", 40)], [("silo", "in", {"zz"}), ("sold", "!=", True)]], explain=True)
+    want = [k for k in range(N) if DATA["tons"][k] == 40 or DATA["silo"][k] == "zz" and not DATA["sold"][k]]
+    assert list(got) == ["silo", "tons"] and got["silo"].tolist() == [DATA["silo"][k] for k in want] and got["tons"].tolist() == [DATA["tons"][k] for k in want]
+    assert plan.rows == len(want) and plan.terms == 2 and "scan" in str(plan)
     assert t.count() == N and t.count([]) == N and t.count(None) == N
-    assert t.count(("x", "not in", [1, 2])) == 16
+    assert t.count(("tons", "not in", [1, 12])) == sum(x not in (None, 1, 12) for x in DATA["tons"])
 
 
 def test_tuples():
@@ -127,35 +180,35 @@ def test_tuples():
     for bad in (field("x"), "x", [("x", "~", 1)], [("x", 1)], [("x", "in", 3)], [("x", "in", "abc")], [[]], [("x", "<", 1), [("x", ">", 1)]], {"x": 1}):
         with pytest.raises(SchemaError):
             expr.normalised(bad)
-    for bad in (lambda: bool(X > 1), lambda: bool(X), lambda: (X > 1) & 3, lambda: X.isin(3), lambda: X.isin("ab")):
+    for bad in (lambda: bool(TONS > 1), lambda: bool(TONS), lambda: (TONS > 1) & 3, lambda: TONS.isin(3), lambda: TONS.isin("ab")):
         with pytest.raises(SchemaError):
             bad()
     with pytest.raises(TypeError):
-        hash(X)
+        hash(TONS)
 
 
 def test_eager_errors(spark, tmp_path):
     specs = [*SPECS, ListColumnSpec("l", LeafValues("int32")), ColumnSpec("o", "V4")]
     t = Table.create(spark, str(tmp_path / "t"), specs)  # no rows: errors do not depend on them
-    for bad in (X > "a", S > 3, SIZE < "?", X > float("nan"), X == None, X.isin([1, None]), SIZE == None, SIZE > None, field("l") == 1, field("l").is_null(), field("o") == b"abcd", OK == "a", (X > 100) & (S > 3)):  # noqa: E711
+    for bad in (TONS > "a", SILO > 3, GRADE < "?", TONS > NAN, TONS == None, TONS.isin([1, None]), GRADE == None, GRADE > None, field("l") == 1, field("l").is_null(), field("o") == b"abcd", SOLD == "a", (TONS > 100) & (SILO > 3)):  # noqa: E711
         with pytest.raises(SchemaError):
             t.select(bad).count()
     with pytest.raises(KeyError):
         t.select(field("nope") == 1).count()
-    assert t.select(field("o").is_valid()).count() == 0 and t.select(SIZE.isin(["S", None])).count() == 0
+    assert t.select(field("o").is_valid()).count() == 0 and t.select(GRADE.isin(["feed", None])).count() == 0
 
 
 def test_cap_on_terms():
-    pair = (X > 1) | (X < 0)
+    pair = (TONS > 1) | (TONS < 0)
     many = pair
     for _ in range(9):
         many = many & pair
     assert expr.terms(many) == 1024 and expr.terms(~many) == 10
     with pytest.raises(SchemaError):
         expr.terms(many & pair)
-    long = X == 0
+    long = TONS == 0
     for k in range(3000 // 10):
-        long = long | (X == k)
+        long = long | (TONS == k)
     assert expr.terms(long) == 301
 
 
@@ -183,14 +236,55 @@ def test_exact_numbers(spark, tmp_path, dtype):
             assert bool(r[f"c{k}"]) == bool(truth(v, "v", op, plain)), (dtype, v, op, p)
 
 
+def pushed(df):
+    """What the scans of a plan are asked to leave out."""
+    df.sparkSession.conf.set("spark.sql.maxMetadataStringLength", "100000")
+    try:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        df.sparkSession.conf.unset("spark.sql.maxMetadataStringLength")
+    return " ".join(x.split("], ReadSchema")[0] for x in plan.split("PushedFilters: [")[1:])
+
+
 def test_pushdown(tables):
-    plan = tables["none"].select((X > 2.5) & (SIZE == "M") & (Y >= 3) & S.isin(["r01", "r02"])).rows._jdf.queryExecution().executedPlan().toString()
-    pushed = plan.split("PushedFilters: ")[1].split("]")[0] if "]" in plan else plan
-    for part in ("GreaterThanOrEqual(x,3)", "EqualTo(size,1)"):
-        assert part in pushed
-    plan = tables["none"].select(Y >= 3).rows._jdf.queryExecution().executedPlan().toString()
-    assert "GreaterThanOrEqual(y,3.0)" in plan
-    read = tables["none"].select(X > 3).rows.select("x")._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<x:bigint>" in read
+    t = tables["none"]
+    said = pushed(t.select((TONS > 2.5) & (GRADE == "feed") & (WET >= 3) & SILO.isin(["east", "zz"])).rows)
+    for part in ("GreaterThanOrEqual(tons,3)", "EqualTo(grade,1)", "GreaterThanOrEqual(wet,3.0)"):
+        assert part in said
+    read = t.select(TONS > 3).rows.select("tons")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<tons:int>" in read
     spec = TableSpec(SPECS)
-    assert spec.column("x").resolved_dtype() == "int64" and spec.ordered_names[0] == "x"
+    assert spec.column("tons").resolved_dtype() == "int32" and spec.ordered_names[0] == "tons"
+
+
+def test_pushdown_over_other_inputs(spark, tmp_path):
+    foreign(spark).write.parquet(str(tmp_path / "p"))
+    t = over(spark.read.parquet(str(tmp_path / "p")), SPECS, "row")
+    for e, parts in (
+        ((TONS > 2.5) & (WET < 3), ["GreaterThanOrEqual(tons,3)", "LessThan(wet,3.0)"]),
+        (TONS.isin([1, 12, 2**70]) & ~(SOLD == True), ["In(tons, [1,12])"]),  # noqa: E712
+        ((GRADE > "feed") | (TONS < 0), ["Or("]),
+        (~(TONS > 5), ["LessThanOrEqual(tons,5)"]),
+        (SILO == "zz", ["GreaterThanOrEqual(silo,zz)", "LessThanOrEqual(silo,zz"]),
+        (PRICE.is_valid() & (PRICE >= 18), ["GreaterThanOrEqual(price,18.0)"]),
+    ):
+        said = pushed(t.select(e).rows)
+        assert all(x in said for x in parts), (repr(e), said)
+    from granary import queries
+
+    for name in ("flagship", "filter_eq", "filter_ne", "filter_range", "filter_or_not", "filter_isin", "filter_not_isin", "int_vs_float", "categorical_isin", "categorical_order", "dnf_tuples", "string_bytewise", "count_where"):
+        assert pushed(queries.QUERIES[name](spark, "/root/testdata/sf0.001")), name
+
+
+def test_fractions_are_no_integers(spark, tmp_path):
+    for dtype, value in (("int64", 1.0000001), ("int32", 2**31 * 1.0), ("uint8", -1.0), ("int8", NAN), ("int64", 2.0**63)):
+        t = Table.create(spark, str(tmp_path / f"{dtype}{value}"), [ColumnSpec("v", dtype)])
+        with pytest.raises(SchemaError):
+            t.append(spark.createDataFrame([(1.0,), (value,)], "v double"))
+    t = Table.create(spark, str(tmp_path / "fine"), [ColumnSpec("v", "uint64"), ColumnSpec("w", "int16")])
+    t.append(spark.createDataFrame([(2.0**63, 5), (0.0, -7)], "v double, w long"))
+    assert [int(x) for x in t["v"].read()] == [2**63, 0] and t["w"].read().tolist() == [5, -7]
+    with pytest.raises(SchemaError):
+        t.append(spark.createDataFrame([(40000,)], "w long"))
+    with pytest.raises(SchemaError):
+        t.append(spark.sql("SELECT CAST('1.0000000001' AS DECIMAL(20,10)) AS w"))
