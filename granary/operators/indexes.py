@@ -18,7 +18,7 @@ from ..errors import ConformanceError, SchemaError, StaleIndexError
 from ..functions import types as t
 from ..functions.specs import ColumnSpec, ListColumnSpec, Spec
 from ..plans import compile as compiler
-from ..plans.expr import And, Expression, Leaf
+from ..plans.expr import And, Expression, Leaf, Not
 from ..plans.plan import LeafPlan
 from . import positions
 
@@ -205,7 +205,23 @@ class ChunkMinMax(SearchIndex):
             out = F.lit(False)
         return self.data.where(out).select("chunk")
 
+    def ranges(self, op: str, value: Any, most: int) -> list[tuple[int, int]]:
+        """The first and last chunk of each run of chunks that could hold a match. Runs are found by Spark, and no more than
+        ``most`` of them reach the driver: of more, what comes back is one from the first chunk to the last."""
+        chunks = self.pruned(op, value)
+
+        def ends(step: int) -> list[int]:
+            beside = chunks.select((F.col("chunk") + step).alias("chunk"))
+            return [r[0] for r in chunks.join(beside, "chunk", "left_anti").orderBy("chunk").limit(most + 1).collect()]
+
+        first = ends(1)
+        if len(first) > most:
+            low, high = chunks.agg(F.min("chunk"), F.max("chunk")).first()
+            return [(low, high)]
+        return list(zip(first, ends(-1), strict=True))
+
     def prune(self, op: str, value: Any) -> np.ndarray:
+        """The numbers of those chunks, on the driver."""
         return np.array([r[0] for r in self.pruned(op, value).orderBy("chunk").collect()], np.int64)
 
 
@@ -259,12 +275,13 @@ class Bitmap(SearchIndex):
         return [r[0] for r in self.data.select("value").distinct().orderBy("value").collect()]
 
     def _places(self, where: Column) -> DataFrame:
-        bits = self.data.where(where)
-        byte = bits.select("bucket", F.posexplode(F.transform(F.sequence(F.lit(1), F.octet_length("bits")), lambda i: F.conv(F.hex(F.substring("bits", i, F.lit(1))), 16, 10).cast("int"))).alias("at", "byte"))
-        each = byte.where("byte <> 0").select("bucket", "at", "byte", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("bit"))
-        lit = each.where(F.expr("shiftright(byte, bit) & 1 = 1"))
+        # a row of the result is a position: bytes without a bit are passed over within their bitmap
+        byte = F.transform(F.sequence(F.lit(1), F.octet_length("bits")), lambda i: F.struct(i.alias("at"), F.hex(F.substring("bits", i, F.lit(1))).alias("hex")))
+        lit = F.filter(byte, lambda x: x["hex"] != "00")
+        each = F.transform(lit, lambda x: F.struct(((x["at"] - 1) * 8).alias("at"), F.conv(x["hex"], 16, 10).cast("int").alias("byte")))
+        bits = F.flatten(F.transform(each, lambda x: F.transform(F.filter(F.array(*map(F.lit, range(8))), lambda b: F.call_function("shiftright", x["byte"], b).bitwiseAND(1) == 1), lambda b: x["at"] + b)))
         # buckets hold 32768 positions and count from one, as positions here do from one
-        return lit.select(((F.col("bucket") - 1) * 32768 + F.col("at") * 8 + F.col("bit")).cast("long").alias("position"))
+        return self.data.where(where).select("bucket", F.explode(bits).alias("bit")).select(((F.col("bucket") - 1) * 32768 + F.col("bit")).cast("long").alias("position"))
 
     def found(self, values: list[Any]) -> DataFrame:
         self._fresh()
@@ -303,7 +320,7 @@ def access(table: Reader, leaf: Leaf, negated: bool) -> LeafPlan:
     if isinstance(spec, ColumnSpec) and spec.is_categorical and leaf.op in ("==", "in"):
         labels = leaf.value if leaf.op == "in" else (leaf.value,)
         if not negated and all(compiler.code_of(spec, x) is None for x in labels):
-            return LeafPlan(text, negated, "categorical-empty")
+            return LeafPlan(text, negated, "no such label")
     have = table.valid_indexes(leaf.name)
     order = {"in": ("BITMAP",), "==": ("SORTED_ROWS", "BITMAP", "CHUNK_MINMAX"), "null": (), "valid": ()}.get(leaf.op, ("SORTED_ROWS", "CHUNK_MINMAX"))
     if not negated:
@@ -313,7 +330,30 @@ def access(table: Reader, leaf: Leaf, negated: bool) -> LeafPlan:
     return LeafPlan(text, negated, "scan")
 
 
-#: More ranges of chunks than this are not worth a predicate.
+def answered(table: Reader, e: Expression | None) -> DataFrame | None:
+    """The positions that match, from sidecars alone; None if some comparison has no valid index that could say."""
+    if e is None or isinstance(e, Not):
+        return None
+    if not isinstance(e, Leaf):
+        parts = [answered(table, x) for x in e.parts]
+        if any(x is None for x in parts):
+            return None
+        out = parts[0]
+        for x in parts[1:]:
+            out = out.join(x, "position", "left_semi") if isinstance(e, And) else out.unionByName(x).distinct()
+        return out
+    spec, have = table.specs[e.name], table.valid_indexes(e.name)
+    if isinstance(spec, ListColumnSpec) or e.op in ("null", "valid"):
+        return None
+    holds = compiler.leaf_column(F.col("value"), spec, e.op, e.value)
+    if e.op in ("==", "in") and "BITMAP" in have and have["BITMAP"].exhaustive:
+        return have["BITMAP"]._places(holds)
+    if "SORTED_ROWS" in have:
+        return have["SORTED_ROWS"].data.where((F.col("tail") == 0) & holds).select("position")
+    return None
+
+
+#: More runs of chunks than this make a predicate that costs more than it saves; it then has their bounds alone.
 MOST_RANGES = 64
 
 
@@ -327,13 +367,8 @@ def candidates(table: Reader, e: Expression | None) -> Column | None:
         index = table.valid_indexes(leaf.name).get("CHUNK_MINMAX")
         if index is None or index.spec.is_categorical:
             continue
-        chunks = index.prune(leaf.op, leaf.value)
-        cuts = np.flatnonzero(np.diff(chunks) > 1) + 1
-        ranges = [(int(x[0]), int(x[-1])) for x in np.split(chunks, cuts) if len(x)]
-        if len(ranges) > MOST_RANGES:
-            continue
         near = F.lit(False)
-        for lo, hi in ranges:
+        for lo, hi in index.ranges(leaf.op, leaf.value, MOST_RANGES):
             near = near | F.col(t.POSITION).between(lo * index.chunk_len, (hi + 1) * index.chunk_len - 1)
         out = near if out is None else out & near
     return out

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from typing import TYPE_CHECKING
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ConformanceError
@@ -37,10 +38,14 @@ def _manifest(table: Table) -> None:
         _need(isinstance(x.get("nrows"), int) and isinstance(x.get("generation"), int), f"index {name!r} has no tokens")
 
 
-def _rows(table: Table) -> None:
-    """One pass: positions, codes, truth values, fills that were not made missing, text that is too long."""
+def _repeated(rows: DataFrame, column: str) -> bool:
+    return not rows.groupBy(column).count().where("count > 1").isEmpty()
+
+
+def _rows(table: Table, deep: bool) -> None:
+    """One pass: positions, codes, truth values, fills that were not made missing, text that is too long. Positions by their
+    number, bounds, sum and parity, which most damage changes; deep: that none is there twice, which settles it."""
     n = table.nrows
-    # as many positions as there should be, with their sum and their parity: none is there twice in place of another
     parity = [n - 1, 1, n, 0][(n - 1) % 4] if n else 0
     total = F.sum(F.col(t.POSITION).cast("decimal(38,0)"))
     tests = {
@@ -68,6 +73,7 @@ def _rows(table: Table) -> None:
     _need(got["n"] == table.nrows, f"there are {got['n']} rows, not {table.nrows}")
     for k, what in enumerate(tests):
         _need(not got[f"t{k}"], f"{what}: {got[f't{k}']}")
+    _need(not deep or not _repeated(table.rows, t.POSITION), "positions that repeat")
 
 
 def _same(name: str, a, b) -> None:
@@ -89,6 +95,7 @@ def _index(table: Table, index: indexes.SearchIndex, deep: bool) -> None:
         want = table.rows.agg(F.count("*"), F.max(t.POSITION), F.sum(t.POSITION), F.bit_xor(t.POSITION)).first()
         _need(got[0] == table.nrows and (got[1] or 0) == max(0, table.nrows - 1) and tuple(got)[2:] == tuple(want)[2:], f"index {index.name!r} is no permutation")
         if deep:
+            _need(not _repeated(index.data, "position"), f"index {index.name!r} is no permutation")
             _same(index.name, index.data.select("tail", "value", "position"), indexes.sorted_rows(table.rows, spec))
             # ranks follow (tail, value, position): each differs from the one before it in the right way
             both = index.data.alias("a").join(index.data.alias("b"), F.expr("a.rank + 1 = b.rank"))
@@ -105,6 +112,6 @@ def _index(table: Table, index: indexes.SearchIndex, deep: bool) -> None:
 
 def validate(table: Table, deep: bool = False) -> None:
     _manifest(table)
-    _rows(table)
+    _rows(table, deep)
     for index in table.search_indexes.values():
         _index(table, index, deep)

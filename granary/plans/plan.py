@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 class LeafPlan:
     predicate: str
     negated: bool
-    access: str  # CHUNK_MINMAX, SORTED_ROWS, BITMAP, scan, or categorical-empty
+    access: str  # CHUNK_MINMAX, SORTED_ROWS, BITMAP, scan, or that there is no such label
     index: str | None = None
 
     def __str__(self) -> str:

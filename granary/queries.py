@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -315,27 +316,29 @@ def stored_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return table.project(table.rows, position=True).withColumnRenamed(t.POSITION, "position")
 
 
-@_query("SELECT event_id, value FROM events WHERE event_id < 300")
+HALF = "(SELECT count(*) // 2 FROM events)"
+
+
+@_query(f"SELECT event_id, value FROM events WHERE event_id < {HALF}")
 def truncated(spark: SparkSession, sf: str) -> DataFrame:
     table = _stored(spark, sf)
-    table.truncate(300)
+    table.truncate(table.nrows // 2)
     return table.project(table.rows, ["event_id", "value"])
 
 
-@_query("SELECT event_id, event_id AS position, value FROM events WHERE event_id < 300 UNION ALL SELECT event_id, 300 + event_id - 500, value FROM events WHERE event_id >= 500 AND event_id < 600")
+@_query(f"SELECT event_id, event_id AS position, value FROM events WHERE event_id < {HALF} UNION ALL SELECT event_id, {HALF} + event_id, value FROM events")
 def append_truncate_append(spark: SparkSession, sf: str) -> DataFrame:
     table = _stored(spark, sf)
-    table.truncate(300)
-    more = _read(spark, sf, "events").where("event_id >= 500 AND event_id < 600").select("event_id", "user_id", "value", "event_type")
-    table.append(more.coalesce(1).sortWithinPartitions("event_id"))
+    table.truncate(table.nrows // 2)
+    table.append(_read(spark, sf, "events").select("event_id", "user_id", "value", "event_type").orderBy("event_id"))
     return table.project(table.rows, ["event_id", "value"], position=True).withColumnRenamed(t.POSITION, "position")
 
 
-@_query("SELECT event_id, NULL::DOUBLE AS later FROM events UNION ALL SELECT 1000000 + event_id, value FROM events WHERE event_id < 10")
+@_query("SELECT event_id, NULL::DOUBLE AS later FROM events UNION ALL SELECT 1000000000 + event_id, value FROM events")
 def add_column_backfill(spark: SparkSession, sf: str) -> DataFrame:
     table = _stored(spark, sf)
     table.add_column(ColumnSpec("later", "float64"))
-    table.append(_read(spark, sf, "events").where("event_id < 10").select((F.col("event_id") + 1000000).alias("event_id"), F.col("value").alias("later")))
+    table.append(_read(spark, sf, "events").select((F.col("event_id") + 1000000000).alias("event_id"), F.col("value").alias("later")))
     return table.project(table.rows, ["event_id", "later"])
 
 
@@ -398,26 +401,110 @@ def bitmap_rows(spark: SparkSession, sf: str) -> DataFrame:
     return _stored(spark, sf).add_search_index("event_type", "BITMAP").found(["purchase"])
 
 
-@_query("SELECT (SELECT count(*) FROM events) + 100 AS n, 2::BIGINT AS generation, 1::BIGINT AS rebuilt, TRUE AS valid")
-def index_refresh(spark: SparkSession, sf: str) -> DataFrame:
-    table = _stored(spark, sf, chunk_rows=256)
-    table.add_search_index("value")
-    table.append(_read(spark, sf, "events").where("event_id < 100").select("event_id", "user_id", "value", "event_type"))
-    rebuilt = table.refresh_indexes()
+def _again(spark: SparkSession, sf: str) -> DataFrame:
+    return _read(spark, sf, "events").select("event_id", "user_id", "value", "event_type")
+
+
+def _told(table: Table, rebuilt: int) -> DataFrame:
+    """What a zone map over value says of its rows, and the tokens of table and index."""
     index = table.search_indexes["value__chunk_minmax"]
     table.validate(deep=True)
     return index.data.agg(F.sum("n").alias("n"), F.lit(table.generation).cast("long").alias("generation"), F.lit(rebuilt).cast("long").alias("rebuilt"), F.lit(index.is_valid).alias("valid"))
 
 
+@_query("SELECT 2 * count(*) AS n, 2::BIGINT AS generation, 1::BIGINT AS rebuilt, TRUE AS valid FROM events")
+def index_refresh(spark: SparkSession, sf: str) -> DataFrame:
+    table = _stored(spark, sf, chunk_rows=256)
+    table.add_search_index("value")
+    table.append(_again(spark, sf))
+    return _told(table, table.refresh_indexes())
+
+
+@_query("SELECT 2 * count(*) AS n, 2::BIGINT AS generation, 0::BIGINT AS rebuilt, TRUE AS valid FROM events")
+def index_maintained(spark: SparkSession, sf: str) -> DataFrame:
+    table = _stored(spark, sf, chunk_rows=256)
+    table.add_search_index("value")
+    table.append(_again(spark, sf), maintain_indexes=True)
+    return _told(table, table.refresh_indexes())
+
+
+@_query("SELECT 2 * count(*) AS n, 6::BIGINT AS generation, 1::BIGINT AS rebuilt, TRUE AS valid FROM events")
+def generation_repaired(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens that are no numbers are passed over, and one that is ahead of the table's is not used again."""
+    table = _stored(spark, sf, chunk_rows=256)
+    table.add_search_index("value")
+    entry = table.manifest["indexes"]["value__chunk_minmax"]
+    table._commit(indexes={"value__chunk_minmax": entry | {"generation": "torn"}, "event_id__chunk_minmax": entry | {"column": "event_id", "generation": 5, "kind": "LATER_KIND"}}, generation=None)
+    table.append(_again(spark, sf))
+    return _told(table, table.refresh_indexes())
+
+
+@_query("SELECT (SELECT count(*) FROM events WHERE value >= 10 AND value < 40) AS n_range, (SELECT count(*) FROM events WHERE event_type IN ('view', 'error')) AS n_types, (SELECT count(*) FROM events WHERE value > 80 AND event_type = 'click') AS n_both, 3::BIGINT AS from_indexes")
+def indexed_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts that sorted rows and bitmaps answer without the rows."""
+    table = _stored(spark, sf)
+    table.add_search_index("value", "SORTED_ROWS")
+    table.add_search_index("event_type", "BITMAP")
+    asked = {"n_range": (field("value") >= 10) & (field("value") < 40), "n_types": field("event_type").isin(["view", "error"]), "n_both": (field("value") > 80) & (field("event_type") == "click")}
+    known = sum(indexes.answered(table, table.select(e).expression) is not None for e in asked.values())
+    return spark.createDataFrame([(*(table.count(e) for e in asked.values()), known)], ", ".join(f"{c} long" for c in (*asked, "from_indexes")))
+
+
+@_query(f"SELECT event_id AS position FROM ({NANNED}) WHERE (value > 50 AND NOT isnan(value)) OR value < 1.5")
+def nan_in_sorted_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """NaN is present, but neither above nor below a number, in an index too."""
+    df = _nanned(spark, sf).df.select("event_id", "value").orderBy("event_id")
+    table = Table.from_dataframe(spark, paths.scratch(spark, "nans"), df, [ColumnSpec("event_id", "int64"), ColumnSpec("value", "float64", fill_value=-1e300)])
+    table.add_search_index("value", "SORTED_ROWS")
+    return table.select((field("value") > 50) | (field("value") < 1.5)).positions
+
+
+@_query("SELECT event_id, value FROM events WHERE event_id % 3 = 1")
+def rows_masked(spark: SparkSession, sf: str) -> DataFrame:
+    table = _events(spark, sf)
+    df, _ = positions.chosen(table.rows, np.arange(table.nrows) % 3 == 1, table.nrows)
+    return df.select("event_id", "value")
+
+
+@_query("SELECT event_id, event_type, value FROM events WHERE value > 60 AND event_type <> 'view'")
+def selection_to_arrow(spark: SparkSession, sf: str) -> DataFrame:
+    out = _events(spark, sf).select((field("value") > 60) & (field("event_type") != "view")).to_arrow(["event_id", "event_type", "value"])
+    return spark.createDataFrame(out)
+
+
 # lists
 
+#: All elements in their order, exactly: whole millionths as text.
+_ELEMENTS = "md5(array_to_string(list_transform(embedding, lambda x: floor(x::DOUBLE * 1000000)::BIGINT::VARCHAR), ','))"
+
+
+def _elements(c: str) -> F.Column:
+    return F.md5(F.array_join(F.transform(c, lambda x: F.floor(x.cast("double") * 1000000).cast("string")), ","))
+
 
-@_query("SELECT vec_id, list_sum(embedding)::FLOAT AS total, len(embedding) AS n FROM (SELECT vec_id, embedding[1:1] AS embedding FROM embeddings)")
+@_query(f"SELECT vec_id, {_ELEMENTS} AS elements, len(embedding) AS n FROM embeddings")
 def list_read(spark: SparkSession, sf: str) -> DataFrame:
     df = _read(spark, sf, "embeddings")
     table = over(df, [ColumnSpec("vec_id", "int64"), ListColumnSpec("embedding", LeafValues("float32"))], "vec_id")
-    got = table.project(table.rows)
-    return got.select("vec_id", F.element_at("embedding", 1).alias("total"), F.size(F.slice("embedding", 1, 1)).cast("long").alias("n"))
+    return table.project(table.rows).select("vec_id", _elements("embedding").alias("elements"), F.size("embedding").cast("long").alias("n"))
+
+
+@_query(f"SELECT vec_id, {_ELEMENTS} AS elements FROM embeddings UNION ALL SELECT 1000000000 + vec_id, {_ELEMENTS} FROM (SELECT vec_id, list_reverse(embedding) AS embedding FROM embeddings)")
+def list_append(spark: SparkSession, sf: str) -> DataFrame:
+    df = _read(spark, sf, "embeddings").select("vec_id", "embedding")
+    table = Table.from_dataframe(spark, paths.scratch(spark, "lists"), df, [ColumnSpec("vec_id", "int64"), ListColumnSpec("embedding", LeafValues("float32"))])
+    table.append(df.select((F.col("vec_id") + 1000000000).alias("vec_id"), F.reverse("embedding").alias("embedding")))
+    return table.project(table.rows).select("vec_id", _elements("embedding").alias("elements"))
+
+
+@_query(f"SELECT vec_id, {_ELEMENTS} AS elements, 'large_list' AS kind FROM embeddings")
+def large_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Lists leave as lists with wide offsets and come back whole."""
+    df = _read(spark, sf, "embeddings").select("vec_id", "embedding")
+    out = over(df, [ColumnSpec("vec_id", "int64"), ListColumnSpec("embedding", LeafValues("float32"))], "vec_id").to_arrow()
+    kind = str(out.schema.field("embedding").type).partition("<")[0]
+    table = Table.from_arrow(spark, paths.scratch(spark, "lists"), out)
+    return table.project(table.rows).select("vec_id", _elements("embedding").alias("elements"), F.lit(kind).alias("kind"))
 
 
 @_query("SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN NULL WHEN vec_id % 3 = 0 THEN 0 ELSE 2 END::BIGINT AS n, CASE WHEN vec_id % 5 <> 0 AND vec_id % 3 <> 0 THEN (label = 0)::INT ELSE 0 END::BIGINT AS gone FROM embeddings")

@@ -227,14 +227,21 @@ class Selection:
         near = indexes.candidates(self.table, self.expression)
         return self.rows if near is None else self.rows.where(near)
 
+    @functools.cached_property
+    def positions(self) -> DataFrame:
+        """The positions that match, in no order: from indexes alone where they know, else from the rows."""
+        from ..operators import indexes
+
+        known = indexes.answered(self.table, self.expression)
+        return self.pruned().select(F.col(t.POSITION).alias("position")) if known is None else known
+
     @functools.cached_property
     def row_positions(self) -> np.ndarray:
-        got = self.rows.select(t.POSITION).orderBy(t.POSITION).toArrow()
-        return got.column(0).to_numpy().astype(np.int64)
+        return self.positions.orderBy("position").toArrow().column(0).to_numpy().astype(np.int64)
 
     @functools.cached_property
     def _count(self) -> int:
-        return self.table.nrows if self.expression is None else self.rows.count()
+        return self.table.nrows if self.expression is None else self.positions.count()
 
     def count(self) -> int:
         return self._count
@@ -246,13 +253,13 @@ class Selection:
         return f"<Selection of {self.table!r} where {self.where!r}>"
 
     def read(self, columns: list[str] | None = None, masked: bool = True) -> dict[str, Any]:
-        return self.table.collected(self.rows, [F.col(t.POSITION)], columns, masked)
+        return self.table.collected(self.pruned(), [F.col(t.POSITION)], columns, masked)
 
     def to_arrow(self, columns: list[str] | None = None) -> pa.Table:
         from . import arrow_io
 
         wanted = self.table.names(columns)
-        got = self.rows.orderBy(t.POSITION).select(*(quoted(c) for c in wanted)).toArrow()
+        got = self.pruned().orderBy(t.POSITION).select(*(quoted(c) for c in wanted)).toArrow()
         return arrow_io.exported(got, [self.table.specs[c] for c in wanted], self.table.spec)
 
     def explain(self) -> QueryPlan:

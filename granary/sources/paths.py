@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+from ..errors import GranaryError
+
 
 def _path(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -52,9 +54,12 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share, which goes with the JVM."""
+    """A new path in the folder that driver and executors share, which goes with the JVM. Only where all is one machine
+    may it be a folder of that machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not (spark.sparkContext.master or "").startswith("local[") and spark.sparkContext.master != "local":
+            raise GranaryError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="granary-"))

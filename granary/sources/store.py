@@ -141,7 +141,11 @@ class Table(Reader):
     def _bumped(self) -> int | None:
         """The next generation, if there is any index that it could make stale."""
         g = self.manifest["generation"]
-        return None if g is None and not self.manifest["indexes"] else max(g if isinstance(g, int) else 0, *(x.get("generation") or 0 for x in self.manifest["indexes"].values()), 0) + 1
+        if g is None and not self.manifest["indexes"]:
+            return None
+        # tokens that are no numbers say nothing, and are left behind by the next refresh
+        known = [x for x in (g, *(i.get("generation") for i in self.manifest["indexes"].values())) if isinstance(x, int) and not isinstance(x, bool) and x > 0]
+        return max(known, default=0) + 1
 
     # changing
 

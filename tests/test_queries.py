@@ -136,6 +136,25 @@ def test_predicates(tables, name):
             assert got == expected(e), repr(e)
 
 
+@pytest.mark.parametrize("name", ["sorted", "bitmap", "bounds", "stale"])
+def test_selections_by_index(tables, name):
+    """Counts and positions are the same where indexes answer, and where they cannot."""
+    from granary.operators import indexes
+
+    t, known = tables[name], 0
+    chosen = [e for e in PREDICATES if isinstance(e, expr.Leaf) and e.op not in ("null", "valid")][:14] + [(TONS > 0) & (SILO == "zz"), (TONS.isin([1, 12])) | (GRADE == "mill"), (PRICE > 17) & (PRICE < 18.5)]
+    for e in chosen:
+        known += indexes.answered(t, t.select(e).expression) is not None
+        s = t.select(e)
+        assert s.row_positions.tolist() == expected(e) and s.count() == len(expected(e)), repr(e)
+    assert (known >= 3) == (name in ("sorted", "bitmap"))
+    if name == "bounds":
+        runs = t.search_indexes["tons__chunk_minmax"].ranges(">", 5, 64)
+        held = {p // 5 for p in expected(TONS > 5)}
+        assert held <= {c for lo, hi in runs for c in range(lo, hi + 1)} and all(a[1] + 1 < b[0] for a, b in zip(runs, runs[1:], strict=False))
+        assert t.search_indexes["tons__chunk_minmax"].ranges(">", 5, 1) == [(runs[0][0], runs[-1][1])]
+
+
 def foreign(spark):
     """The same rows as another input has them: fills and labels as values, null bytes after text."""
     from pyspark.sql import types as T
