@@ -46,13 +46,15 @@ def width(spark: SparkSession) -> int:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; it goes with the JVM."""
+    """A new path in the folder that driver and executors share; it goes with the JVM. Only where all is one
+    machine may it be a folder of that machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not (spark.sparkContext.master or "").startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
-        base = tempfile.mkdtemp(prefix="granary-")
-        spark.sparkContext.setCheckpointDir(base)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="granary-"))
         base = spark.sparkContext.getCheckpointDir()
     path = f"{base}/granary-{name}-{uuid.uuid4().hex}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -74,16 +76,64 @@ def settle_bucketed(df: DataFrame, name: str, keys: list[str], buckets: int) ->
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     to = f"granary_{name}_{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, *keys).saveAsTable(to)
-    return spark.table(to)
+    return resolved(spark, to)
+
+
+def resolved(spark: SparkSession, name: str) -> DataFrame:
+    """A table of the catalog that is needed no longer by its name; its files stay."""
+    out = spark.table(name)
+    out.schema  # noqa: B018  looked up now
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
+class Commits:
+    """Batches of tables under a path, each there once all of it is written. A batch that is written again, after
+    a failure or a lost driver, is another attempt; rows of attempts that no commit names are not seen."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, f"{path}/_commits"
+
+    def _at(self, path: str):
+        out = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return out, out.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def done(self) -> dict[str, str]:
+        """The attempt of each batch."""
+        path, fs = self._at(self.path)
+        if not fs.exists(path):
+            return {}
+        return dict(x.getPath().getName().rsplit(".", 1) for x in fs.listStatus(path))
+
+    def commit(self, batch: str, attempt: str) -> None:
+        path, fs = self._at(f"{self.path}/{batch}.{attempt}")
+        fs.create(path, False).close()
+
+    def note(self, name: str, value: str) -> str:
+        """A value that stays as it was first set."""
+        path, fs = self._at(f"{self.path[: -len('_commits')]}_{name}")
+        if not fs.exists(path):
+            out = fs.create(path, False)
+            out.writeBytes(value)
+            out.close()
+        held = fs.open(path)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(held, "UTF-8")
+        finally:
+            held.close()
 
 
 Work = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 SLICE = 4 << 20  # bytes of a batch that work sees at once
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def over(df: DataFrame, work: Work, schema: str | T.StructType, keeps: str = "") -> DataFrame:
     """mapInArrow by work, which sees batches in slices of a few MB; keeps: the memo that it uses. Workers outlive
-    their tasks, so each begins by forgetting what other operators kept and ends by giving free memory back."""
+    their tasks, so each begins by forgetting what other operators kept and ends by giving free memory back. Where the
+    session sets no size for Arrow's batches, they end at a slice, or rows of long texts would take what they like."""
+    if df.sparkSession.conf.get(BATCH, None) is None:
+        df.sparkSession.conf.set(BATCH, str(SLICE))
 
     def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget(keeps)
