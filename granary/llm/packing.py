@@ -17,6 +17,7 @@ are pieces of their own; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import sys
 import unicodedata
 import zlib
@@ -33,8 +34,9 @@ from pyspark.sql import functions as F
 from . import common
 
 LENGTH, END = 2048, 0
-WORDS = 550_000  # distinct words in each of the two generations that a worker remembers
+MEMORY, ENTRY = 96 << 20, 200  # bytes of each of the two generations of words that a worker remembers, and of an entry beside its own
 STEP = 1 << 22  # bytes of text that are encoded at once
+EFFORT = 500_000  # steps of the search for a plan, some seconds
 STOPS = b".,;:!?"
 
 
@@ -49,28 +51,33 @@ class Encoder:
 
     Each distinct word is encoded once while it is remembered. Stops after a word of letters are tokens of their own."""
 
-    def __init__(self, path: str, words: int = WORDS, step: int = STEP):
+    def __init__(self, path: str, memory: int = MEMORY, step: int = STEP):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.whole, self.plain, self.words = Tokenizer.from_file(path), Tokenizer.from_file(path), words
-        self.step = step
-        self.special = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
-        # for words of lower-case letters, to which its normalizers and patterns do nothing
-        self.plain.normalizer = normalizers.Sequence([])
-        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.tokenizer, self.memory, self.step = Tokenizer.from_file(path), memory, step
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # as it is, and for words of lower-case letters, to which its normalizers and patterns do nothing
+        self.whole = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.plain = normalizers.Sequence([]), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
+        self.held = 0  # bytes of known
 
-    def _encode(self, tokenizer, words: list[str]) -> list[bytes]:
-        ids = [array("I", e.ids) for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _encode(self, how: tuple, words: list[str]) -> list[bytes]:
+        self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = how
+        ids = [array("I", e.ids) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         if sys.byteorder == "big":
             for x in ids:
                 x.byteswap()
         return [x.tobytes() for x in ids]
 
+    def _keep(self, items: list[tuple[bytes, bytes]]) -> None:
+        self.known.update(items)
+        self.held += sum(ENTRY + len(w) + len(x) for w, x in items)
+
     def learn(self, words: Iterable[bytes]) -> None:
         plain, other, parted = {}, {}, []
         for w in words:
@@ -83,19 +90,18 @@ class Encoder:
                     parted.append((w, core, w[len(core) :]))
             else:
                 other[w] = w.decode("utf-8", "replace")
-        for tokenizer, named in ((self.plain, plain), (self.whole, other)):
+        for how, named in ((self.plain, plain), (self.whole, other)):
             todo = [w for w in named if w not in self.known]
-            self.known.update(zip(todo, self._encode(tokenizer, [named[w] for w in todo]), strict=True))
-        for w, core, tail in parted:
-            self.known[w] = self.known[core] + self.known[tail]
+            self._keep(list(zip(todo, self._encode(how, [named[w] for w in todo]), strict=True)))
+        self._keep([(w, self.known[core] + self.known[tail]) for w, core, tail in parted])
 
     def of_words(self, words: list[bytes]) -> list[bytes]:
         """The ids of distinct words in ASCII lower case."""
-        if len(self.known) > self.words:  # the words of one call at most are beyond; of the two generations the older goes
-            self.before, self.known = self.known, {}
+        if self.held > self.memory:  # the words of one call at most are beyond; of the two generations the older goes
+            self.before, self.known, self.held = self.known, {}, 0
         known, before = self.known, self.before
         new = [w for w in words if w not in known]
-        known.update((w, before[w]) for w in new if w in before)
+        self._keep([(w, before[w]) for w in new if w in before])
         self.learn([w for w in new if w not in known])
         return [known[w] for w in words]
 
@@ -139,13 +145,13 @@ class Encoder:
             yield from self.ids(held)
 
 
-def pieces(docs: DataFrame, length: int = LENGTH, path: str | None = None, words: int = WORDS, step: int = STEP) -> DataFrame:
+def pieces(docs: DataFrame, length: int = LENGTH, path: str | None = None, memory: int = MEMORY, step: int = STEP) -> DataFrame:
     """did, piece, start, length, ids_crc32, and task, nth: its place among pieces of its length from its task."""
     path = path or vocabulary()
-    name = f"encoder {path} {words} {step}"
+    name = f"encoder {path} {memory} {step}"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = common.memo(name, lambda: Encoder(path, words, step))
+        encoder = common.memo(name, lambda: Encoder(path, memory, step))
         task, seen = TaskContext.get().partitionId(), np.zeros(length + 1, np.int64)
         end = np.array([END], "<u4").tobytes()
         for b in batches:
@@ -168,65 +174,73 @@ def pieces(docs: DataFrame, length: int = LENGTH, path: str | None = None, words
 def least_bins(counts: np.ndarray, length: int) -> int:
     """A lower bound on the sequences needed: by total, and by what cannot share one with what."""
     sizes = np.arange(len(counts))
-    best = -(-int((counts * sizes).sum()) // length)
     tokens, number = np.cumsum(counts * sizes), np.cumsum(counts)
-    total = int(number[-1])
-    for small in range(1, length // 2 + 1):
-        alone = total - int(number[length - small])  # over length - small: nothing from small on fits beside them
-        halves = int(number[length - small] - number[length // 2])
-        half_tokens = int(tokens[length - small] - tokens[length // 2])
-        rest = int(tokens[length // 2] - tokens[small - 1])
-        best = max(best, alone + halves + max(0, -(-(rest - (halves * length - half_tokens)) // length)))
-    return best
-
-
-def _reachable(sizes: Iterable[int], room: int) -> int:
-    """As bits, the sums up to room of pieces of these sizes, any number of each."""
-    bits, full = 1, (1 << room + 1) - 1
-    for s in sizes:
-        step = s
-        while step <= room:
-            bits |= bits << step & full
-            step *= 2
-    return bits
-
-
-def _fillings(counts: np.ndarray, room: int, most: int, limit: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of a room, least waste first, then of fewer and larger pieces.
-
-    Depth first, larger pieces before smaller, each taken before it is left out. A filling is dominated, and not
-    kept, if a piece that was left out still fits or fits in place of a smaller one that was taken. A branch is cut
-    when even pieces without number could not bring its waste to within ``most`` of the least found so far."""
-    sizes = [int(s) for s in np.flatnonzero(counts[: room + 1])[::-1] if s]
-    sums = _reachable(sizes, room)
-    found: list[tuple[int, tuple[int, ...]]] = []
-    best, steps = room, 0
-    stack: list[tuple[int, int, tuple[int, ...], tuple[int, ...]]] = [(0, room, (), ())]
-    while stack and steps < limit:
-        k, left, taken, skipped = stack.pop()
-        steps += 1
-        if left - (sums & (1 << left + 1) - 1).bit_length() + 1 > best + most:
-            continue
-        while k < len(sizes) and (sizes[k] > left or taken.count(sizes[k]) >= counts[sizes[k]]):
-            k += 1
-        if k == len(sizes):
-            if not any(s <= left or any(t < s <= left + t for t in taken) for s in skipped):
-                best = min(best, left)
-                found.append((left, taken))
-                if len(found) >= 8 and best == 0:
-                    break
-            continue
-        size = sizes[k]
-        if len(skipped) < 8:
-            stack.append((k + 1, left, taken, (*skipped, size)))
-        # the piece that closes the room exactly, or as nearly as any, comes before all between
-        last = bisect_left(sizes, -left, key=lambda s: -s)
-        if last < len(sizes) and last > k and sizes[last] == left and taken.count(left) < counts[left]:
-            stack.append((len(sizes), 0, (*taken, left), ()))
-        stack.append((k, left - size, (*taken, size), skipped))
-    found = [x for x in found if x[0] <= best + most]
-    found.sort(key=lambda x: (x[0], len(x[1]), tuple(-s for s in x[1])))
-    return list(dict.fromkeys(x[1] for x in found)) or [()]
+    small = np.arange(1, length // 2 + 1)
+    alone = number[-1] - number[length - small]  # over length - small: nothing from small on fits beside them
+    halves = number[length - small] - number[length // 2]
+    half_tokens = tokens[length - small] - tokens[length // 2]
+    rest = tokens[length // 2] - tokens[small - 1]
+    beside = np.maximum(0, -(-(rest - (halves * length - half_tokens)) // length))
+    return max(-(-int(tokens[-1]) // length), int((alone + halves + beside).max(initial=0)))
+
+
+class Fillings:
+    """The undominated fillings of a room, those of least waste first, one after another.
+
+    Depth first for each waste, larger pieces before smaller, and only into sums that the smaller sizes can
+    reach. A filling is dominated if a piece that is left fits beside it, or in place of one or two that are
+    together no larger than it: in any solution the two could change places."""
+
+    def __init__(self, counts: np.ndarray, room: int):
+        self.counts, self.room = counts, room
+        self.forget()
+
+    def forget(self) -> None:
+        """Give up what can be made again: a branch waits while those below it are tried."""
+        self.sizes: list[int] = []
+        self.sums: list[int] = []
+
+    def _know(self) -> None:
+        if self.sums:
+            return
+        self.sizes = [int(s) for s in np.flatnonzero(self.counts[: self.room + 1])[::-1] if s]
+        # as bits, the sums that the sizes from each on can reach, any number of each
+        sums, bits, full = [1], 1, (1 << self.room + 1) - 1
+        for s in reversed(self.sizes):
+            step = s
+            while step <= self.room:
+                bits |= bits << step & full
+                step *= 2
+            sums.append(bits)
+        self.sums = sums[::-1]
+
+    def _dominated(self, taken: tuple[int, ...], waste: int) -> bool:
+        free = lambda s: self.counts[s] > taken.count(s)
+        if any(free(s) for s in self.sizes if s <= waste):
+            return True
+        alone, two = set(taken), {a + b for i, a in enumerate(taken) for b in taken[:i]}
+        return any(free(u) for t in alone for u in range(t + 1, min(t + waste, self.room) + 1)) or any(free(u) for t in two for u in range(t, min(t + waste, self.room) + 1))
+
+    def of(self, waste: int) -> Iterator[tuple[int, ...] | None]:
+        """Those of one waste; None in between, for each step that found nothing."""
+        stack: list[tuple[int, int, tuple[int, ...]]] = [(0, self.room - waste, ())]
+        while stack:
+            self._know()
+            k, left, taken = stack.pop()
+            if not left:
+                yield None if self._dominated(taken, waste) else taken
+                continue
+            if k == len(self.sizes) or not self.sums[k] >> left & 1:
+                yield None
+                continue
+            k = max(k, bisect_left(self.sizes, -left, key=lambda s: -s))
+            if k == len(self.sizes):
+                yield None
+                continue
+            size = self.sizes[k]
+            stack.append((k + 1, left, taken))
+            if self.counts[size] > taken.count(size):
+                stack.append((k, left - size, (*taken, size)))
 
 
 def _times(counts: np.ndarray, pattern: tuple[int, ...]) -> int:
@@ -255,34 +269,92 @@ def best_fit(counts: np.ndarray, length: int) -> list[tuple[tuple[int, ...], int
     return out
 
 
-def complete(counts: np.ndarray, length: int, tries: int = 3, steps: int = 300) -> list[tuple[tuple[int, ...], int]]:
-    """A plan of few sequences for a histogram of lengths 1 to length."""
+Plan = list[tuple[tuple[int, ...], int]]
+
+
+def complete(counts: np.ndarray, length: int, effort: int = EFFORT) -> tuple[Plan, bool]:
+    """A plan of few sequences for a histogram of lengths 1 to length, and whether none has fewer.
+
+    Branch and bound, depth first: the largest piece that is left takes each of its undominated fillings in turn,
+    first for as many sequences as the counts allow, then for one. A branch ends where its waste, or a bound on what is
+    left, shows that it cannot beat the incumbent: best-fit decreasing, of the whole and of what partial plans
+    leave. All fillings are branched on; ``effort`` steps bound the search, and so the proof, alone."""
     counts = np.asarray(counts, np.int64)
+    total, bound = int((counts * np.arange(len(counts))).sum()), least_bins(counts, length)
     incumbent = best_fit(counts, length)
-    bound, best = least_bins(counts, length), sum(n for _, n in incumbent)
-    total = int((counts * np.arange(len(counts))).sum())
-    for attempt in range(tries):
-        if best <= bound:
-            break
-        left, plan, used, tokens = counts.copy(), [], 0, total
-        while tokens:
-            if used + -(-tokens // length) >= best:  # the waste so far cannot be made good
+    best = sum(n for _, n in incumbent)
+    steps, seen = 0, {}  # type: int, dict[bytes, int]
+
+    def children(left: np.ndarray, used: int, tokens: int) -> Iterator[tuple[tuple[int, ...], int] | None]:
+        size = int(np.flatnonzero(left)[-1])
+        rest = left.copy()
+        rest[size] -= 1
+        options, once = Fillings(rest, length - size), []
+        del rest
+        search: dict[int, Iterator[tuple[int, ...] | None]] = {}
+        ended, turn = set(), 64
+        while True:
+            # waste that one sequence fewer than the incumbent could still have
+            wastes = [w for w in range(min(length - size, (best - 1 - used) * length - tokens) + 1) if w not in ended]
+            if not wastes:
                 break
-            size = int(np.flatnonzero(left)[-1])
-            left[size] -= 1
-            options = _fillings(left, length - size, 0 if attempt == 0 else length // 64, steps << attempt)
-            left[size] += 1
-            # further attempts leave the first choice now and then
-            pattern = (size, *options[attempt and len(plan) % (attempt + 1) and min(1, len(options) - 1)])
-            n = _times(left, pattern)
-            for s in pattern:
-                left[s] -= n
-            plan.append((pattern, n))
-            used += n
-            tokens -= n * sum(pattern)
-        if not tokens and used < best:
-            incumbent, best = plan, used
-    return incumbent
+            for waste in wastes:  # in turns that grow, for a waste may have very many fillings, or none that the counts allow
+                found = search.setdefault(waste, options.of(waste))
+                for _ in range(turn):
+                    taken = next(found, StopIteration)
+                    if taken is StopIteration:
+                        ended.add(waste)
+                        break
+                    if taken is None:
+                        yield None
+                        continue
+                    pattern = (size, *taken)
+                    n = _times(left, pattern)
+                    if waste:
+                        n = min(n, ((best - 1 - used) * length - tokens) // waste)
+                    if n > 1:
+                        once.append(pattern)
+                    if n > 0:
+                        options.forget()
+                        yield pattern, n
+            turn *= 4
+        for pattern in once:
+            yield pattern, 1
+
+    stack = [(counts, 0, total, children(counts, 0, total))] if total and best > bound else []
+    plan: Plan = []
+    while stack and best > bound and steps < effort:
+        left, used, tokens, more = stack[-1]
+        child = next(more, StopIteration)
+        steps += 1
+        if child is StopIteration:
+            stack.pop()
+            if plan:
+                plan.pop()
+            continue
+        if child is None:
+            continue
+        pattern, n = child
+        now, tokens, used = left.copy(), tokens - n * sum(pattern), used + n
+        for s in pattern:
+            now[s] -= n
+        if not tokens:
+            if used < best:
+                incumbent, best = [*plan, child], used
+            continue
+        steps += 10  # what the bound and the sums of a branch cost, about
+        mark = hashlib.blake2b(now.tobytes(), digest_size=16).digest()
+        if used + least_bins(now, length) >= best or seen.get(mark, best) <= used:
+            continue
+        seen[mark] = used
+        plan.append(child)
+        stack.append((now, used, tokens, children(now, used, tokens)))
+        if len(plan) & len(plan) - 1 == 0:  # of partial plans of 1, 2, 4, 8, ... patterns
+            rest = best_fit(now, length)
+            steps += len(rest)
+            if (n := used + sum(x for _, x in rest)) < best:
+                incumbent, best = [*plan, *rest], n
+    return incumbent, best <= bound or not stack
 
 
 def places(plan: list[tuple[tuple[int, ...], int]], length: int) -> np.ndarray:
@@ -298,17 +370,17 @@ def places(plan: list[tuple[tuple[int, ...], int]], length: int) -> np.ndarray:
     return np.array(sorted(out), np.int64).reshape(-1, 4)
 
 
-def packed(docs: DataFrame, length: int = LENGTH, path: str | None = None, words: int = WORDS, step: int = STEP) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece. words, step: what a worker
-    remembers and handles at once, memory against time; the result is the same."""
-    cut = common.settle(pieces(docs, length, path, words, step), "pieces")
+def packed(docs: DataFrame, length: int = LENGTH, path: str | None = None, memory: int = MEMORY, step: int = STEP) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece. memory, step: bytes of words
+    that a worker remembers and of text that it handles at once, memory against time; the result is the same."""
+    cut = common.settle(pieces(docs, length, path, memory, step), "pieces")
     by_task = cut.groupBy("length", "task").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     by_task = common.settle(by_task.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))), "counts")
     counts = np.zeros(length + 1, np.int64)
     for size, n in by_task.groupBy("length").agg(F.sum("n")).collect():  # at most one row for each length
         counts[size] = n
-    table = places(complete(counts, length), length)
+    table = places(complete(counts, length)[0], length)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = table[:, 0] << 44 | table[:, 1]
