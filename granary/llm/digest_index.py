@@ -25,41 +25,49 @@ class DigestIndex:
     """``add(docs)`` returns the fate of each row and appends what is new to the index.
 
     Within a batch the largest doc_id stays; a text that the index already holds
-    keeps the row of the earlier batch, and none of the new rows.
+    keeps the row of the earlier batch, and none of the new rows. A batch counts once it is committed; with a
+    name, it may be added again, after a failure or in doubt, with the same result. How many buckets there are
+    is kept with the index, whatever the session that opens it later.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
-        self.spark, self.path = spark, path or common.scratch(spark, "digests")
-        self.buckets, self.name = buckets or common.width(spark), f"granary_digests_{uuid.uuid4().hex}"
-        empty = spark.createDataFrame([], "digest binary, keep_id long")
-        if path and self._exists():
-            spark.sql(f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT) USING parquet OPTIONS (path '{path}') CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS")
-        else:
-            self._append(empty, "errorifexists")
-
-    def _exists(self) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
-
-    def _append(self, entries: DataFrame, mode: str = "append") -> None:
-        sized = entries.repartition(self.buckets, "digest").sortWithinPartitions("digest")
-        sized.write.mode(mode).option("path", self.path).bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
-
-    def entries(self) -> DataFrame:
-        return self.spark.table(self.name)
+        self.spark, self.path = spark, (path or common.scratch(spark, "digests")).rstrip("/")
+        self.commits = common.Commits(spark, self.path)
+        self.buckets = int(self.commits.note("buckets", str(buckets or common.width(spark))))
 
-    def add(self, docs: DataFrame) -> DataFrame:
+    def _append(self, entries: DataFrame) -> None:
+        name = f"granary_digests_{uuid.uuid4().hex}"
+        sized = entries.repartition(self.buckets, "digest").sortWithinPartitions("digest")
+        self._named(name)
+        sized.write.mode("append").option("path", f"{self.path}/entries").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(name)
+        self.spark.sql(f"DROP TABLE {name}")
+
+    def _named(self, name: str) -> None:
+        self.spark.sql(f"CREATE TABLE {name} (digest BINARY, keep_id BIGINT, attempt STRING) USING parquet OPTIONS (path '{self.path}/entries') CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS")
+
+    def entries(self, but: str = "") -> DataFrame:
+        """digest, keep_id of the committed batches, but for one."""
+        name = f"granary_digests_{uuid.uuid4().hex}"
+        self._named(name)
+        rows = common.resolved(self.spark, name)
+        done = [attempt for batch, attempt in self.commits.done().items() if batch != but]  # a name for each batch
+        return rows.where(F.col("attempt").isin(done)).select("digest", "keep_id")
+
+    def add(self, docs: DataFrame, batch: str | None = None) -> DataFrame:
         """doc_id, keep_id, group_size (in this batch), kept, text_sha256 of every row."""
+        batch, attempt = batch or uuid.uuid4().hex, uuid.uuid4().hex
         rows = common.keyed(docs).select("did", F.unhex(F.sha2("text", 256)).alias("digest"))
         rows = common.settle(rows, "digested")
         # settled, or Spark would anti-join the rows and only then group them
         groups = common.settle(rows.groupBy("digest").agg(F.max("did").alias("newest"), F.count("*").alias("group_size")), "groups")
-        known = self.entries()
+        known = self.entries(but=batch)
         fresh = groups.join(known.hint("merge"), "digest", "left_anti")
         added = common.settle(fresh.select("digest", F.col("newest").alias("keep_id")), "fresh")
         before = known.join(groups.hint("merge"), "digest", "left_semi").select("digest", "keep_id")
         before = common.settle(before, "known")
-        self._append(added)
+        if batch not in self.commits.done():
+            self._append(added.withColumn("attempt", F.lit(attempt)))
+            self.commits.commit(batch, attempt)
         fate = groups.join(before.unionByName(added), "digest")
         fate = fate.join(added.select(F.col("digest"), F.lit(True).alias("new")), "digest", "left")
         out = rows.join(common.settle(fate, "fate"), "digest")
