@@ -15,6 +15,7 @@ null, an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -54,10 +55,14 @@ def scanner(kinds: tuple[str, ...] = KINDS):
         if "hex" in kinds:
             out += [(m.start(), 2, m.end()) for m in runs.finditer(t)]
         if "pem" in kinds and "-----BEGIN " in t:
-            at = 0
-            while m := pem.search(t, at):
-                at = end.end() if (end := END.search(t, m.end())) else m.end()
-                out.append((m.start(), 3, at))
+            ends = [m.span() for m in END.finditer(t)]
+            begins = [m.span() for m in pem.finditer(t)] + [(len(t), 0)]
+            k = 0
+            # a block ends before the next begins; a begin without an end stands alone
+            for (i, j), (following, _) in zip(begins, begins[1:], strict=False):
+                while k < len(ends) and ends[k][0] < j:
+                    k += 1
+                out.append((i, 3, ends[k][1] if k < len(ends) and ends[k][0] < following else j))
         return sorted(out)
 
     return scan
@@ -71,19 +76,25 @@ class BlobLedger:
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path = spark, path or common.scratch(spark, "ledger")
+        self.spark, self.path = spark, (path or common.scratch(spark, "ledger")).rstrip("/")
+        self.commits = common.Commits(spark, self.path)
 
     def _read(self, name: str, schema: str) -> DataFrame:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         there = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if there else self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(f"{schema}, attempt string").parquet(f"{self.path}/{name}") if there else self.spark.createDataFrame([], f"{schema}, attempt string")
+        return rows.where(F.col("attempt").isin(list(self.commits.done().values()))).drop("attempt")
 
     def pairs(self) -> DataFrame:
+        """The (blob, rule, version) whose scan is committed."""
         return self._read("pairs", "blob binary, rule string, version int")
 
     def findings(self) -> DataFrame:
         return self._read("findings", f"blob binary, rule string, version int, spans {FINDS}")
 
+    def _file(self, rows: DataFrame, name: str, attempt: str) -> None:
+        rows.withColumn("attempt", F.lit(attempt)).write.mode("append").parquet(f"{self.path}/{name}")
+
     def scan(self, versions: DataFrame, rules: dict[str, int] | None = None) -> DataFrame:
         rules = rules or {k: v for k, (v, _) in RULES.items()}
         docs = common.keyed(versions)
@@ -95,10 +106,12 @@ class BlobLedger:
         unseen = unseen.groupBy("blob", "at").agg(F.sort_array(F.collect_list("rule")).alias("rules"))
         unseen = common.settle(unseen.select("at.did", "at.h", "blob", "rules"), "unseen")
         found = common.settle(self._scanned(docs, unseen, rules), "found")
-        found.write.mode("append").parquet(f"{self.path}/findings")
+        attempt = uuid.uuid4().hex
+        self._file(found, "findings", attempt)
         todo = unseen.select("blob", F.explode("rules").alias("rule"))
         version = F.element_at(F.create_map(*(F.lit(x) for kv in rules.items() for x in kv)), F.col("rule"))
-        todo.select("blob", "rule", version.alias("version")).write.mode("append").parquet(f"{self.path}/pairs")
+        self._file(todo.select("blob", "rule", version.alias("version")), "pairs", attempt)
+        self.commits.commit(attempt, attempt)  # findings and pairs count from here on, or neither
         now = self.findings().where(version == F.col("version")).groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
         return paths.join(common.settle(now, "now"), "blob", "left").select(common.doc_id(), "blob", F.coalesce("spans", F.array().cast(FINDS)).alias("spans"))
 
@@ -119,7 +132,7 @@ class BlobLedger:
                 yield common.rows(dict(zip(("blob", "rule", "version", "spans"), zip(out, (pa.binary(), pa.string(), pa.int32(), kind), strict=True), strict=True)))
 
         # a row repeated as a whole is one blob's source twice over: once is enough, either will do
-        once = common.packed(docs).hint("shuffle_hash").join(unseen, ["did", "h"])
+        once = common.packed(docs).join(unseen.hint("shuffle_hash"), ["did", "h"])  # ids and rules are what is hashed, not texts
         return common.over(once.select("blob", "z", "rules"), work, f"blob binary, rule string, version int, spans {FINDS}").dropDuplicates(["blob", "rule"])
 
 
@@ -145,3 +158,28 @@ def brute(t: str) -> list[tuple[int, int, int]]:
     out += [(m.start(), 1, m.end()) for m in re.finditer(RULES["access"][1], t) if len(m[0]) >= 20]
     out += [(m.start(), 2, m.end()) for m in re.finditer(RULES["hex"][1], t) if len(m[0]) >= 24]
     return sorted(out)
+
+
+SQL = r"""
+WITH kinds(kind, place, pattern) AS (VALUES
+  ('assign', 0, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'),
+  ('access', 1, 'AKIA[A-Z0-9]+'), ('hex', 2, '[0-9a-f]+'),
+  ('begin', 3, '-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----'), ('end', 4, '-----END (?:[A-Z]+ )*PRIVATE KEY-----')
+), doc AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+cut AS (SELECT r, kind, place, pattern, regexp_extract_all(t, pattern) AS hits, list_transform(string_split_regex(t, pattern), lambda x: length(x)) AS gaps FROM doc, kinds),
+hit AS (
+  SELECT r, kind, place, hits[k] AS m, list_sum(gaps[1:k]) + coalesce(list_sum(list_transform(hits[1:k - 1], lambda x: length(x))), 0) AS start,
+         CASE kind WHEN 'assign' THEN length(regexp_extract(hits[k], pattern, 1)) >= 6 WHEN 'access' THEN length(hits[k]) >= 20 WHEN 'hex' THEN length(hits[k]) >= 24 ELSE TRUE END AS ok
+  FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS k FROM cut)
+), place AS (SELECT r, kind, place, start::BIGINT AS start, (start + length(m))::BIGINT AS stop FROM hit WHERE ok),
+begins AS (SELECT *, coalesce(lead(start) OVER (PARTITION BY r ORDER BY start), 9223372036854775807) AS following FROM place WHERE kind = 'begin'),
+pem AS (SELECT b.r, 'pem' AS kind, 3 AS place, b.start, coalesce(min(e.stop), any_value(b.stop)) AS stop FROM begins b LEFT JOIN place e ON e.kind = 'end' AND e.r = b.r AND e.start >= b.stop AND e.start < b.following GROUP BY b.r, b.start),
+span AS (SELECT r, kind, place, start, stop FROM place WHERE kind IN ('assign', 'access', 'hex') UNION ALL SELECT * FROM pem),
+told AS (
+  SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (kind = 'pem') AS n_pem,
+         string_agg(concat_ws(':', kind, start, stop), ',' ORDER BY start, place) FILTER (kind <> 'pem') AS base, string_agg(concat_ws(':', kind, start, stop), ',' ORDER BY start, place) AS spans
+  FROM span GROUP BY r
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(n_pem, 0) AS n_pem, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM doc LEFT JOIN told USING (r)
+"""
