@@ -1,13 +1,15 @@
 """Personal data by anchor expansion.
 
 One Aho-Corasick pass over a text finds anchors: at-signs, plus signs, address
-schemes, and a digit followed by a dot, a digit or a separator. From each anchor
+schemes, cue words for accounts, and a digit followed by a dot, a digit or a separator. From each anchor
 a deterministic local parser walks outwards, finds where the entity begins and
 ends, and validates it. No text is ever scanned by a backtracking expression, and
 nothing is shuffled: each row is done where it is read.
 
-Kinds, in listed order: email, ip, card, phone, url. Spans are code points, end
-exclusive. Null text counts as empty; null ids stay null; rows are never merged.
+Kinds, in listed order: email, ip, card, phone, url, account (an international bank account number whose check
+digits hold, soon after a cue). Spans are code points, end
+exclusive. Null text counts as empty; bytes that are not UTF-8 are read as replacement characters;
+null ids stay null; rows are never merged.
 """
 
 from __future__ import annotations
@@ -28,8 +30,10 @@ DIGIT = frozenset("0123456789")
 DIALLED = frozenset(" ().0123456789-")
 SCHEMES = ("http://", "https://", "ftp://")
 URL_ENDS = frozenset(" \t\n\v\f\r<>\"'`")
+CUES = ("iban", "account", "acct", "konto", "compte", "cuenta")
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "url")
+KINDS = (*BASE, "url", "account")
+NEAR = 24  # characters after a cue in which an account number begins
 
 
 def luhn(digits: str) -> bool:
@@ -110,6 +114,30 @@ def address(t: str, start: int, after: int) -> int | None:
     return j if j > after and (t[after] in LABEL or t[after] == "[") else None
 
 
+def account(t: str, after: int) -> tuple[int, int] | None:
+    """The first account number that begins soon after a cue: two capitals, two digits, 11 to 30 more of either in groups,
+    which as a number leave 1 when divided by 97. It ends where letters and digits do, or earlier if only so it holds."""
+    n = len(t)
+    for i in range(after, min(n - 14, after + NEAR)):
+        head = t[i : i + 4]
+        if not (head[:2].isalpha() and head[:2].isascii() and head[:2].isupper() and head[2:].isdigit() and head.isascii()) or t[i - 1].isalnum():
+            continue
+        ends, number, j = [], "", i
+        while j < n and len(number) < 34:
+            c = t[j]
+            if c in DIGIT or "A" <= c <= "Z":
+                number += c
+                if len(number) >= 15 and not (j + 1 < n and (t[j + 1] in DIGIT or "A" <= t[j + 1] <= "Z")):
+                    ends.append((j + 1, number))
+            elif c not in " -" or j + 1 == n or not (t[j + 1] in DIGIT or "A" <= t[j + 1] <= "Z"):
+                break
+            j += 1
+        for end, digits in reversed(ends):
+            if int("".join(str(int(c, 36)) for c in digits[4:] + digits[:4])) % 97 == 1:
+                return i, end
+    return None
+
+
 def anchors():
     """The automaton; the digit pairs come from the alphabets."""
     import ahocorasick
@@ -117,6 +145,8 @@ def anchors():
     found = ahocorasick.Automaton()
     for word in ("@", "+", *SCHEMES, *(a + b for a in sorted(DIGIT) for b in (*sorted(DIGIT), ".", " ", "-"))):
         found.add_word(word, (word if len(word) != 2 else "d.", len(word)) if not word[0].isdigit() else ("dot" if word[1] == "." else "num", 2))
+    for word in (f(cue) for cue in CUES for f in (str, str.upper, str.capitalize)):
+        found.add_word(word, ("cue", len(word)))
     found.make_automaton()
     return found
 
@@ -153,10 +183,13 @@ def scan(t: str, automaton) -> list[tuple[int, int, int]]:
                 phones = end
                 if 8 <= sum(c in DIGIT for c in t[at:end]) <= 15:
                     out.append((3, at, end))
+        elif what == "cue":
+            if hit := account(t, last + 1):
+                out.append((5, *hit))
         elif at >= urls and (end := address(t, at, last + 1)):
             out.append((4, at, end))
             urls = end
-    return sorted(out)
+    return sorted(dict.fromkeys(out))  # several cues may lead to one number
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -167,7 +200,8 @@ def find(docs: DataFrame) -> DataFrame:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
         for b in batches:
             got = []
-            for t in b.column("text").to_pylist():
+            for raw in common.raw(b):
+                t = raw.decode("utf-8", "replace")
                 got.append([{"kind": KINDS[k], "start": i, "end": j, "value": t[i:j]} for k, i, j in scan(t, automaton)])
             yield common.rows({"doc_id": (b.column("doc_id"), None), "spans": (got, kind)})
 
@@ -203,3 +237,42 @@ def brute(t: str) -> list[tuple[int, int, int]]:
 
 def sha(spans: list[tuple[int, int, int]]) -> str:
     return hashlib.sha256(",".join(f"{KINDS[k]}:{i}:{j}" for k, i, j in spans if k < 4).encode()).hexdigest()
+
+
+SQL = r"""
+WITH kinds(kind, place, pattern) AS (VALUES
+  ('email', 0, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'), ('ip', 1, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'),
+  ('card', 2, '[0-9]([\x20-]?[0-9])+'), ('phone', 3, '\+[0-9][\x20().0-9-]+[0-9]'),
+  ('url', 4, '(?:https?|ftp)://[A-Za-z0-9\[-](?:[^ \t\n\x0B\f\r<>"''`]*[^ \t\n\x0B\f\r<>"''`.,;:!?)\]}])?'), ('cue', 5, '__CUES__')
+), doc AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+cut AS (SELECT r, kind, place, regexp_extract_all(t, pattern) AS hits, list_transform(string_split_regex(t, pattern), lambda x: length(x)) AS gaps FROM doc, kinds),
+hit AS (
+  SELECT r, kind, place, hits[k] AS m, regexp_replace(hits[k], '[^0-9]', '', 'g') AS d,
+         (list_sum(gaps[1:k]) + coalesce(list_sum(list_transform(hits[1:k - 1], lambda x: length(x))), 0))::BIGINT AS start
+  FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS k FROM cut)
+), base AS (
+  SELECT r, kind, place, start, start + length(m) AS stop FROM hit WHERE CASE kind
+    WHEN 'ip' THEN len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR right('000' || x, 3) > '255')) = 0
+    WHEN 'card' THEN length(d) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN (length(d) - i) % 2 = 0 THEN substr(d, i, 1)::INT ELSE 2 * substr(d, i, 1)::INT - 9 * (substr(d, i, 1) > '4')::INT END)) % 10 = 0
+    WHEN 'phone' THEN length(d) BETWEEN 8 AND 15 WHEN 'cue' THEN FALSE ELSE TRUE END
+), near AS (
+  SELECT r, cue, i, substr(t, i + 1, 100) AS rest
+  FROM (SELECT r, start AS cue, unnest(range(start + length(m), start + length(m) + 24)) AS i FROM hit WHERE kind = 'cue') JOIN doc USING (r)
+  WHERE regexp_matches(substr(t, i + 1, 4), '^[A-Z]{2}[0-9]{2}') AND NOT regexp_matches(substr(t, i, 1), '[\p{L}\p{N}]')
+), chain AS (
+  SELECT r, cue, i, length(x) AS n, regexp_replace(x, '[ -]', '', 'g') AS d
+  FROM (SELECT r, cue, i, rest, regexp_extract(rest, '^[A-Z0-9](?:[ -]?[A-Z0-9]){' || unnest(range(14, 34)) || '}') AS x FROM near)
+  WHERE x <> '' AND NOT regexp_matches(substr(rest, length(x) + 1, 1), '[A-Z0-9]')
+), sound AS (
+  SELECT r, cue, i, n FROM chain
+  WHERE list_reduce([0] || list_transform(string_split(substr(d, 5) || substr(d, 1, 4), ''), lambda c: CASE WHEN c <= '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END), lambda a, x: (a * CASE WHEN x > 9 THEN 100 ELSE 10 END + x) % 97) = 1
+), account AS (SELECT DISTINCT r, 'account' AS kind, 5 AS place, first(i ORDER BY i, n DESC) AS start, first(i + n ORDER BY i, n DESC) AS stop FROM sound GROUP BY r, cue),
+span AS (SELECT * FROM base UNION ALL SELECT * FROM account),
+told AS (
+  SELECT r, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone, count(*) FILTER (kind = 'url') AS n_url, count(*) FILTER (kind = 'account') AS n_account,
+         string_agg(concat_ws(':', kind, start, stop), ',' ORDER BY place, start) FILTER (place < 4) AS base, string_agg(concat_ws(':', kind, start, stop), ',' ORDER BY place, start) AS spans
+  FROM span GROUP BY r
+)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, coalesce(n_url, 0) AS n_url, coalesce(n_account, 0) AS n_account, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM doc LEFT JOIN told USING (r)
+""".replace("__CUES__", "|".join(f(cue) for cue in CUES for f in (str, str.upper, str.capitalize)))
