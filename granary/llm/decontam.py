@@ -10,9 +10,9 @@ thus loses nothing.
 
 Items are taken in blocks of a bounded size; each block's sketch goes to the executors
 and every whole document is searched where it is read. Nothing is shuffled. Words are
-`[^\\x20\\x09-\\x0D]+` with A-Z in lower case; fewer words than five are one shingle, the whole
-sequence; a text without words contains nothing and is contained nowhere. Null ids
-stay null; rows are never merged.
+`[^\\x20\\x09-\\x0D]+` with A-Z in lower case. An item of fewer words than five is one shingle, all its words, and
+is searched among the shingles of as many words of every document; a text without words contains nothing and is
+contained nowhere. Null ids stay null; rows are never merged.
 """
 
 from __future__ import annotations
@@ -53,16 +53,18 @@ class Items:
     def __init__(self, items: list[tuple[int | None, bytes]], least: float = LEAST):
         self.least, self.ids = least, [i for i, _ in items]
         self.shingles: list[dict[bytes, None]] = []
-        probe = []
+        probe, widths = [], {SIZE}
         for k, (_, text) in enumerate(items):
             words = text.lower().split()
             hashes, n = shingled(words)
+            widths |= {n} - {0}
             self.shingles.append(dict.fromkeys(b" ".join(words[j : j + n]) for j in range(len(hashes))))
             each = np.unique(hashes)
             if len(each):
                 part = max(1, len(each) - 1).bit_length()  # sizes up to 2 ** part
                 sketch = each[: int((1 - least) * (1 << part) + 1e-9) + 1]
                 probe += [(int(x), k) for x in sketch]
+        self.widths = sorted(widths)
         probe.sort()
         self.keys = np.array([x for x, _ in probe], np.uint64)
         self.of = np.array([k for _, k in probe], np.int64)
@@ -73,17 +75,21 @@ class Items:
     def search(self, text: bytes) -> list[tuple[int, int]]:
         """(item's place, shingles shared) of the items that a document contains."""
         words = text.lower().split()
-        hashes, n = shingled(words)
-        near = hashes[self.mask[(hashes >> np.uint64(48)).astype(np.int64)]]
-        if not len(near):
-            return []
-        near = np.unique(near)
-        i, j = np.searchsorted(self.keys, near, "left"), np.searchsorted(self.keys, near, "right")
-        found = sorted({int(k) for a, b in zip(i[i < j], j[i < j], strict=True) for k in self.of[a:b] if self.need[k] <= len(hashes)})
-        if not found:
-            return []
-        held = {b" ".join(words[p : p + n]) for p in range(len(hashes))}
-        counts = [(k, sum(s in held for s in self.shingles[k])) for k in found]
+        found, held = set(), set()
+        for n in self.widths:
+            if len(words) < n:
+                break
+            hashes, _ = shingled(words, n)
+            near = hashes[self.mask[(hashes >> np.uint64(48)).astype(np.int64)]]
+            if not len(near):
+                continue
+            near = np.unique(near)
+            i, j = np.searchsorted(self.keys, near, "left"), np.searchsorted(self.keys, near, "right")
+            some = {int(k) for a, b in zip(i[i < j], j[i < j], strict=True) for k in self.of[a:b] if self.need[k] <= len(hashes)}
+            if some:
+                found |= some
+                held |= {b" ".join(words[p : p + n]) for p in range(len(hashes))}
+        counts = [(k, sum(s in held for s in self.shingles[k])) for k in sorted(found)]
         return [(k, c) for k, c in counts if c >= self.need[k]]
 
 
@@ -125,9 +131,13 @@ WITH words AS (
   SELECT 'd' AS side, doc_id AS id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
   UNION ALL
   SELECT 'b', item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') FROM benchmark
+), widths AS (
+  SELECT side, id, w, least(len(w), 5) AS n FROM words WHERE side = 'b' AND len(w) > 0
+  UNION ALL
+  SELECT side, id, w, n FROM words JOIN (SELECT DISTINCT least(len(w), 5) AS n FROM words WHERE side = 'b' AND len(w) > 0) ON len(w) >= n WHERE side = 'd'
 ), shingles AS (
-  SELECT DISTINCT side, id, array_to_string(w[i : i + least(len(w), 5) - 1], ' ') AS s
-  FROM (SELECT side, id, w, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS i FROM words WHERE len(w) > 0)
+  SELECT DISTINCT side, id, array_to_string(w[i : i + n - 1], ' ') AS s
+  FROM (SELECT side, id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM widths)
 ), size AS (SELECT id, count(*) AS n FROM shingles WHERE side = 'b' GROUP BY id)
 SELECT d.id AS doc_id, b.id AS item_id, any_value(n) AS n_shingles, count(*) AS n_shared, count(*) / any_value(n) AS containment
 FROM shingles b JOIN shingles d ON d.s = b.s AND d.side = 'd' AND b.side = 'b' JOIN size ON size.id = b.id
