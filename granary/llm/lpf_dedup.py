@@ -339,3 +339,21 @@ def brute(texts: dict[int, bytes], size: int = SIZE) -> dict[int, tuple[int, int
         kept = b"".join(t[i:j] for i, j in zip([0, *(hi for _, hi in cuts)], [*(lo for lo, _ in cuts), len(t)], strict=True))
         out[d] = (len(t), len(t) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest())
     return out
+
+
+SQL = r"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+start AS (SELECT r, s, md5(array_slice(b, s, s + 399)) AS m FROM (SELECT r, b, unnest(range(1, octet_length(b) - 398)) AS s FROM doc)),
+twice AS (SELECT m FROM start GROUP BY m HAVING count(*) > 1),
+island AS (SELECT r, s, coalesce(s > lag(s) OVER (PARTITION BY r ORDER BY s) + 400, TRUE)::INT AS fresh FROM start JOIN twice USING (m)),
+span AS (
+  SELECT r, min(s) AS lo, max(s) + 400 AS hi
+  FROM (SELECT r, s, sum(fresh) OVER (PARTITION BY r ORDER BY s) AS run FROM island) GROUP BY r, run
+), gone AS (SELECT r, sum(hi - lo) AS n_removed, count(*) AS n_spans, max(hi) AS last FROM span GROUP BY r),
+piece AS (
+  SELECT r, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 1) AS a, lo - 1 AS z FROM span
+  UNION ALL SELECT r, coalesce(last, 1), octet_length(b) FROM doc LEFT JOIN gone USING (r)
+), kept AS (SELECT r, string_agg(CASE WHEN a <= z THEN hex(array_slice(b, a, z)) ELSE '' END, '' ORDER BY a) AS x FROM piece JOIN doc USING (r) GROUP BY r)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(x)) AS kept_sha256
+FROM doc JOIN kept USING (r) LEFT JOIN gone USING (r)
+"""
