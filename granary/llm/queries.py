@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontam, digest_index, language, line_dedup, lpf_dedup, packing, pii, secret_scan, simhash, toxicity
 from .common import table
@@ -20,7 +21,8 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return language.identified(table(spark, sf_dir, "pages"), docs, also=docs)
+    found = language.identified(table(spark, sf_dir, "pages"), docs, also=docs)
+    return found.withColumns({c: F.round(c, 6) for c in ("confidence", "text_p")})
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,4 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_suffix_dedup, op2_simhash, op3_language, op4_exact_dedup, op5_line_dedup, op6_packing, op7_secrets, op8_decontamination, op9_pii, op10_toxicity)
 }
 
-SQL: dict[str, str] = {"op4_exact_dedup": digest_index.SQL, "op5_line_dedup": line_dedup.SQL, "op8_decontamination": decontam.SQL}
+SQL: dict[str, str] = {
+    "op1_suffix_dedup": lpf_dedup.SQL, "op3_language": language.SQL, "op4_exact_dedup": digest_index.SQL, "op5_line_dedup": line_dedup.SQL,
+    "op7_secrets": secret_scan.SQL, "op8_decontamination": decontam.SQL, "op9_pii": pii.SQL,
+}
