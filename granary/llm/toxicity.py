@@ -1,14 +1,19 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A word's input is the sum of hashed embeddings of the word and of its leading characters (4 to 7
-bytes of its UTF-8) and its last ones (4). Two gated recurrent layers read a window forwards and backwards; attention
+A word's input is the sum of hashed embeddings of the word and of its characters: its first 4 to 7
+bytes of UTF-8, its last 4, and in two halves all between its first and last 4, so that every byte is in one. The
+first of the embedding's columns begins as the naive Bayes odds of its bucket. Two gated recurrent layers read a window forwards and backwards; attention
 pools their states into one logit. A document is scored by all its overlapping windows: its
 largest logits, smoothed, are calibrated to a probability by a logistic fitted on
 labelled rows that took no part in the training of the network.
 
 Labels only come from rows whose crc32(doc_id as text) mod 4 is not 2, at most ``most`` toxic and twice
-as many others, chosen by a hash of their ids: that bounds what reaches the driver. Language, source
-and id are no inputs. Scoring covers all words of every document where it is read; nothing is
+as many others, chosen by a hash of their ids, and of each kind no more than come to ``volume`` bytes together: that
+bounds what reaches the driver. Of several rows of an id the text with the least hash is learned from. The naive
+Bayes counts are of whole texts; the network trains on at most ``per_text`` windows of each: of toxic ones, where a
+label says nothing of which window made it so, those whose naive Bayes evidence is near that of the strongest, of
+others the strongest and some at random. Calibration reads all windows of its rows. Language, source and id are no inputs. Long texts are
+windowed like any others, however many windows they have. Scoring covers all words of every document where it is read; nothing is
 shuffled. Null, empty and wordless texts score 0; a null id is not held out and its row never trained on; rows that
 repeat get equal scores; without any labels of both classes every score is 0.
 """
@@ -28,15 +33,21 @@ from . import common
 WINDOW, STEP = 128, 64  # words
 BUCKETS, WIDTH, HIDDEN, ATTEND = 1 << 16, 8, 8, 8
 PUNCTUATION = b".,;:!?\"'()[]{}|<>*_-"
-FEATURES = 6
+FEATURES = 8
 WORDS = 250_000  # distinct words that a task remembers
 THRESHOLD = 0.3
+PER_TEXT = 3  # windows of a text that the network trains on
+VOLUME = 16 << 20  # bytes of texts of either label to learn from
 
 
 def features(words: list[bytes]) -> np.ndarray:
-    """For each word the buckets of itself, of its first 4 to 7 bytes and of its last 4."""
-    crc, bare = zlib.crc32, [w.strip(PUNCTUATION) or w for w in words]
-    rows = [(crc(w, 1), crc(w[:4], 2), crc(w[:5], 3), crc(w[:6], 4), crc(w[:7], 5), crc(w[-4:], 6)) for w in bare]
+    """For each word the buckets of itself, of its first 4 to 7 bytes, of its last 4, and of the halves between."""
+    crc, rows = zlib.crc32, []
+    for word in words:
+        w = word.strip(PUNCTUATION) or word
+        inner = w[4:-4]
+        half = (len(inner) + 1) // 2
+        rows.append((crc(w, 1), crc(w[:4], 2), crc(w[:5], 3), crc(w[:6], 4), crc(w[:7], 5), crc(w[-4:], 6), crc(inner[:half], 7), crc(inner[half:], 8)))
     return np.array(rows, np.int64).reshape(-1, FEATURES) % BUCKETS
 
 
@@ -278,7 +289,7 @@ def held_out(doc: int | None) -> bool:
     return doc is not None and zlib.crc32(str(doc).encode()) % 4 == 2
 
 
-def fit(rows: list[tuple[int, bytes, int]]) -> Model:
+def fit(rows: list[tuple[int, bytes, int]], per_text: int = PER_TEXT) -> Model:
     """A model from (doc_id, text, label)."""
     rows = sorted(rows)
     if len({y for _, _, y in rows}) < 2:
@@ -304,14 +315,13 @@ def fit(rows: list[tuple[int, bytes, int]]) -> Model:
             continue
         at = spans(len(x))
         weight = np.array([np.clip(odds[x[i:j]].max(axis=1, initial=0), 0, None).sum() if j > i else 0 for i, j in at])
-        best = np.argsort(-weight)[: 2 if label else 1].tolist()
+        best = np.argsort(-weight)[: per_text if label else 1].tolist()
         if not label:
-            best += rng.choice(len(at), min(2, len(at)), replace=False).tolist()
+            best += rng.choice(len(at), min(per_text - 1, len(at)), replace=False).tolist()
         for k in dict.fromkeys(best):
-            if label and k != best[0] and weight[k] < 0.7 * weight[best[0]]:
-                continue
-            windows.append(x[at[k][0] : at[k][1]])
-            y.append(label)
+            if not label or weight[k] >= 0.7 * weight[best[0]]:
+                windows.append(x[at[k][0] : at[k][1]])
+                y.append(label)
     # few rows see many epochs, many see few
     net.fit(windows, np.array(y, np.float32), epochs=int(np.clip(12_000 // max(1, len(windows)), 2, 12)))
     model = Model(net)
@@ -346,9 +356,21 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int = 2000) -> DataFrame:
     return rows.join(F.broadcast(chosen), "doc_id")
 
 
-def trained(docs: DataFrame, labels: DataFrame, most: int = 2000) -> Model:
-    rows = labelled(docs, labels, most).select("doc_id", F.col("text").cast("binary"), "toxic").toLocalIterator()
-    return fit([(d, bytes(t), y) for d, t, y in rows])
+def trained(docs: DataFrame, labels: DataFrame, most: int = 2000, volume: int = VOLUME, per_text: int = PER_TEXT) -> Model:
+    rows = labelled(docs, labels, most).select("doc_id", F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text"), "toxic")
+    rows = common.settle(rows, "labelled")
+    # a row of numbers for each id, so many in order of their hash as come to the volume
+    each = rows.groupBy("doc_id", "toxic").agg(F.min(F.struct("h", F.octet_length("text").alias("n"))).alias("one"))
+    wanted: list[tuple[int, int]] = []
+    for y in (0, 1):
+        left = volume
+        for doc, (h, n) in each.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id", "one").collect():
+            if n <= left:
+                left -= n
+                wanted.append((doc, h))
+    chosen = docs.sparkSession.createDataFrame(wanted, "doc_id long, h long")
+    once = rows.join(F.broadcast(chosen), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"])
+    return fit([(d, bytes(t), y) for d, t, y in once.select("doc_id", "text", "toxic").toLocalIterator()], per_text)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
