@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, digest_index, language, line_dedup, lpf_dedup, packing, pii, secret_scan, simhash, toxicity
+from . import decontam, digest_index, language, line_dedup, lpf_dedup, packing, pii, secret_scan, simhash, simhash_sql, toxicity
 from .common import table
 
 
@@ -61,6 +61,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
-    "op1_suffix_dedup": lpf_dedup.SQL, "op3_language": language.SQL, "op4_exact_dedup": digest_index.SQL, "op5_line_dedup": line_dedup.SQL,
+    "op1_suffix_dedup": lpf_dedup.SQL, "op2_simhash": simhash_sql.SQL, "op3_language": language.SQL, "op4_exact_dedup": digest_index.SQL, "op5_line_dedup": line_dedup.SQL,
     "op7_secrets": secret_scan.SQL, "op8_decontamination": decontam.SQL, "op9_pii": pii.SQL,
 }
