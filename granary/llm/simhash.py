@@ -11,7 +11,8 @@ Only distinct fingerprints are dealt out. Anchors with many of them are dealt in
 each with all that are at home there. From an anchor come no pairs but a spanning forest
 of the links found, so that output is linear in what was read; connected components of the
 forest are those of the links. Nulls, empty and wordless texts have fingerprint zero,
-linked like any other; a null id counts as the smallest id.
+linked like any other; a null id counts as the smallest id. Rows that repeat are linked, ties of a group go to its
+smallest id; long texts give one fingerprint like any others; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,6 +30,15 @@ from .components import components
 BITS, NEAR, SHINGLE, SEED, BLOCK = 31, 3, 3, 42, 4096
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half the hashes have set."""
+    counts = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), 1 << 16):
+        part = np.asarray(hashes[k : k + (1 << 16)], dtype=">u8")
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big", signed=True)
+
+
 def fingerprint_of(text: bytes, size: int = SHINGLE) -> int:
     from xxhash import xxh64_intdigest
 
@@ -36,25 +46,19 @@ def fingerprint_of(text: bytes, size: int = SHINGLE) -> int:
     if not words:
         return 0
     if len(words) <= size:
-        hashes = [xxh64_intdigest(b" ".join(words), SEED)]
-    else:
-        joined = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - size + 1]
-        hashes = [xxh64_intdigest(joined[i:j], SEED) for i, j in zip(starts.tolist(), ends[size - 1 :].tolist(), strict=True)]
-    counts = np.zeros(64, np.int64)
-    for k in range(0, len(hashes), 1 << 16):
-        part = np.array(hashes[k : k + (1 << 16)], dtype=">u8")
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big", signed=True)
+        return majority(np.array([xxh64_intdigest(b" ".join(words), SEED)], np.uint64))
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - size + 1]
+    return majority(np.fromiter((xxh64_intdigest(joined[i:j], SEED) for i, j in zip(starts.tolist(), ends[size - 1 :].tolist(), strict=True)), np.uint64, len(starts)))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """did, h, fp of every document."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield common.rows({"did": (b.column("did"), None), "h": (b.column("h"), None), "fp": ([fingerprint_of(t) for t in common.raw(b)], pa.int64())})
+            yield common.rows({"did": (b.column("did"), None), "h": (b.column("h"), None), "fp": ([fingerprint_of(t, size) for t in common.raw(b)], pa.int64())})
 
     return common.over(common.keyed(docs), work, "did long, h long, fp long")
 
@@ -179,15 +183,23 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     return common.over(dealt.repartition(n, "anchor", "block").sortWithinPartitions("anchor", "block"), work, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """did, h, fp, component (smallest did reachable, null id as the smallest) of every document."""
-    rows = common.settle(fingerprints(docs), "fingerprints")
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, least: float | None = None) -> DataFrame:
+    """did, h, fp, root, component (smallest did reachable, null id as the smallest) of every document; those with one root
+    are linked. Without ``least`` fingerprints within three bits are links. With it links are between documents whose
+    sets of shingles of ``size`` words have at least that similarity, as ``minhash`` finds them."""
+    if least is not None:
+        from . import minhash
+
+        rows = common.settle(minhash.linked(docs, least, size), "linked")
+        named = rows.groupBy("root").agg(F.min("did").alias("component"))
+        return rows.join(common.settle(named, "named"), "root").select("did", "h", "fp", "root", "component")
+    rows = common.settle(fingerprints(docs, size), "fingerprints")
     alone = common.settle(rows.groupBy("fp").agg(F.min("did").alias("first")), "distinct")
     tree = components(links(alone.select("fp")))
     rooted = alone.join(tree, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = common.settle(rooted, "rooted")
     named = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    return rows.join(common.settle(rooted.select("fp", "root").join(named, "root").select("fp", "component"), "named"), "fp")
+    return rows.join(common.settle(rooted.join(named, "root").select("fp", "root", "component"), "named"), "fp")
 
 
 def digest(near: DataFrame) -> DataFrame:
