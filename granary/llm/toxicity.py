@@ -21,12 +21,13 @@ repeat get equal scores; without any labels of both classes every score is 0.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -373,9 +374,11 @@ def trained(docs: DataFrame, labels: DataFrame, most: int = 2000, volume: int =
     return fit([(d, bytes(t), y) for d, t, y in once.select("doc_id", "text", "toxic").toLocalIterator()], per_text)
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, h, held_out, score, predicted of every document."""
+def scored(docs: DataFrame, model: Model, carry: Sequence[str] | None = None) -> DataFrame:
+    """doc_id, h, held_out, score, predicted of every document; with ``carry`` also its text and those columns as x_<name>."""
     sent = docs.sparkSession.sparkContext.broadcast((model.net and model.net.p, model.weights))  # a few MB, of fixed size
+    rows = common.keyed(docs, carry or ())
+    extra = [] if carry is None else [f for f in rows.schema.fields if f.name not in ("did", "h")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         params, weights = sent.value
@@ -388,8 +391,11 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             texts, got = common.raw(b), []
             for k in range(0, len(texts), 256):
                 got.append(model.score(texts[k : k + 256]))
-            yield pa.RecordBatch.from_arrays([b.column("did"), b.column("h"), pa.array(np.concatenate(got) if got else np.zeros(0))], ["did", "h", "score"])
+            score = pa.array(np.concatenate(got) if got else np.zeros(0))
+            yield pa.RecordBatch.from_arrays([b.column("did"), b.column("h"), score, *(b.column(f.name) for f in extra)], ["did", "h", "score", *(f.name for f in extra)])
 
-    out = common.over(common.keyed(docs), work, "did long, h long, score double")
+    own = T._parse_datatype_string("did long, h long, score double")
+    out = common.over(rows, work, T.StructType([*own.fields, *extra]))
     id_ = common.doc_id()
-    return out.select(id_, "h", F.coalesce(F.crc32(id_.cast("string")) % 4 == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    held = F.coalesce(F.crc32(id_.cast("string")) % 4 == 2, F.lit(False)).alias("held_out")
+    return out.select(id_, "h", held, "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), *(f.name for f in extra))
