@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import common, decontam, line_dedup, minhash, packing, toxicity
+from granary.llm import common, decontam, line_dedup, packing, simhash, toxicity
 
 COLUMNS = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
 
@@ -34,8 +34,10 @@ def _keys(df: DataFrame) -> DataFrame:
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model calls toxic go. It learns from the raw documents that have labels."""
     model = toxicity.trained(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
-    bad = common.settle(_keys(toxicity.scored(docs, model).where("predicted = 1")), "toxic")
-    return _without(_rows(docs), bad)
+    rows = docs.select(*(F.col(c).cast(t).alias(c) for c, t in COLUMNS.items()), F.col("text").isNull().alias("none"))
+    kept = toxicity.scored(rows, model, carry=("lang", "source", "n_chars", "none")).where("predicted = 0")
+    text = F.when(~F.col("x_none"), F.col("text")).alias("text")
+    return kept.select("doc_id", text, F.col("x_lang").alias("lang"), F.col("x_source").alias("source"), F.col("x_n_chars").alias("n_chars"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +54,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that share 0.8 of their five-word shingles the smallest doc_id stays (a null is the smallest), of
     its texts the one with the least hash, and of rows that repeat both one. Unlike documents stay whatever their ids."""
-    found = common.settle(minhash.near_duplicates(docs), "found")
+    found = common.settle(simhash.near_duplicates(docs, size=5, least=0.8), "found")
     best = common.settle(found.groupBy("root").agg(F.min(F.struct("did", "h")).alias("best")), "best")
     ranked = found.join(best, "root").select("did", "h", (F.struct("did", "h") == F.col("best")).alias("stays"))
     bad = common.settle(ranked.where("not stays").select("did", "h").distinct(), "near")
@@ -73,8 +75,8 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # executors have grown by now: half the memory for words, in smaller steps
-    return packing.packed(docs, words=300_000, step=1 << 21)
+    # executors have grown by now: less memory for words, in smaller steps
+    return packing.packed(docs, memory=48 << 20, step=1 << 21)
 
 
 STAGES = [("toxicity", toxic), ("line dedup", lines), ("near-dedup", near), ("decontamination", clean), ("packing", packs)]
