@@ -349,7 +349,7 @@ def stored_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query("SELECT event_id, user_id, value, event_type FROM events")
 def arrow_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    out = _events(spark, sf).to_arrow()
+    out = _events(spark, sf).to_arrow_batches()
     table = Table.from_arrow(spark, paths.scratch(spark, "arrow"), out)
     return table.project(table.rows)
 
@@ -468,8 +468,8 @@ def rows_masked(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query("SELECT event_id, event_type, value FROM events WHERE value > 60 AND event_type <> 'view'")
 def selection_to_arrow(spark: SparkSession, sf: str) -> DataFrame:
-    out = _events(spark, sf).select((field("value") > 60) & (field("event_type") != "view")).to_arrow(["event_id", "event_type", "value"])
-    return spark.createDataFrame(out)
+    out = _events(spark, sf).select((field("value") > 60) & (field("event_type") != "view")).to_arrow_batches(["event_id", "event_type", "value"])
+    return out.df
 
 
 # lists
@@ -501,7 +501,7 @@ def list_append(spark: SparkSession, sf: str) -> DataFrame:
 def large_lists(spark: SparkSession, sf: str) -> DataFrame:
     """Lists leave as lists with wide offsets and come back whole."""
     df = _read(spark, sf, "embeddings").select("vec_id", "embedding")
-    out = over(df, [ColumnSpec("vec_id", "int64"), ListColumnSpec("embedding", LeafValues("float32"))], "vec_id").to_arrow()
+    out = over(df, [ColumnSpec("vec_id", "int64"), ListColumnSpec("embedding", LeafValues("float32"))], "vec_id").to_arrow_batches()
     kind = str(out.schema.field("embedding").type).partition("<")[0]
     table = Table.from_arrow(spark, paths.scratch(spark, "lists"), out)
     return table.project(table.rows).select("vec_id", _elements("embedding").alias("elements"), F.lit(kind).alias("kind"))

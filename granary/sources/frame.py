@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator, Mapping
-from typing import Any
+from typing import TYPE_CHECKING, Any
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,9 @@ from ..plans import compile as compiler
 from ..plans.expr import Expression, leaves, terms
 from ..plans.plan import LeafPlan, QueryPlan
 
+if TYPE_CHECKING:
+    from . import arrow_io
+
 
 def quoted(name: str) -> SparkColumn:
     return F.col(f"`{name.replace('`', '``')}`")
@@ -175,6 +178,10 @@ class Reader:
     def to_arrow(self, columns: list[str] | None = None, where: Any = None) -> pa.Table:
         return self.select(where).to_arrow(columns)
 
+    def to_arrow_batches(self, columns: list[str] | None = None, where: Any = None) -> arrow_io.Batches:
+        """As ``to_arrow``, for tables of any size: the rows stay with the executors."""
+        return self.select(where).to_arrow_batches(columns)
+
     def read_rows(self, rows: Any, columns: list[str] | None = None, masked: bool = True) -> dict[str, Any]:
         return self.collected(*positions.chosen(self.rows, rows, self.nrows), columns, masked)
 
@@ -262,6 +269,13 @@ class Selection:
         got = self.pruned().orderBy(t.POSITION).select(*(quoted(c) for c in wanted)).toArrow()
         return arrow_io.exported(got, [self.table.specs[c] for c in wanted], self.table.spec)
 
+    def to_arrow_batches(self, columns: list[str] | None = None) -> arrow_io.Batches:
+        from . import arrow_io
+
+        wanted, rows = self.table.names(columns), self.pruned()
+        stored = [quoted(c) for c in wanted]
+        return arrow_io.Batches(rows.select(*stored), rows.orderBy(t.POSITION).select(*stored), [self.table.specs[c] for c in wanted], self.table.spec)
+
     def explain(self) -> QueryPlan:
         from ..operators import indexes
 

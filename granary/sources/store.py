@@ -12,7 +12,7 @@ import functools
 import json
 import uuid
 from collections.abc import Mapping, Sequence
-from typing import Any
+from typing import TYPE_CHECKING, Any
 
 import pyarrow as pa
 from pyspark.errors import PySparkException
@@ -26,6 +26,9 @@ from ..operators import indexes, positions
 from . import encode, paths
 from .frame import Reader
 
+if TYPE_CHECKING:
+    from .arrow_io import Batches
+
 VERSION = "1.0"
 KIND = "granary-table"
 
@@ -85,10 +88,10 @@ class Table(Reader):
         return cls._filled(spark, path, chosen, arrays, kw)
 
     @classmethod
-    def from_arrow(cls, spark: SparkSession, path: str, table: pa.Table, specs: Sequence[Spec] | None = None, **kw: Any) -> Table:
+    def from_arrow(cls, spark: SparkSession, path: str, table: pa.Table | Batches, specs: Sequence[Spec] | None = None, **kw: Any) -> Table:
         from . import arrow_io
 
-        return cls._filled(spark, path, arrow_io.prepared(table, specs), table, kw)
+        return cls._filled(spark, path, arrow_io.prepared(table.digest(specs) if isinstance(table, arrow_io.Batches) else table, specs), table, kw)
 
     @classmethod
     def from_dataframe(cls, spark: SparkSession, path: str, df: DataFrame, specs: Sequence[Spec], **kw: Any) -> Table:
@@ -149,12 +152,12 @@ class Table(Reader):
 
     # changing
 
-    def append(self, data: Mapping[str, Sequence[Any]] | DataFrame | pa.Table, maintain_indexes: bool = False) -> int:
+    def append(self, data: Mapping[str, Sequence[Any]] | DataFrame | pa.Table | Batches, maintain_indexes: bool = False) -> int:
         """Rows at the end, all or none; a column that is not given is missing in them. Returns how many."""
-        if isinstance(data, pa.Table):
-            from . import arrow_io
+        from . import arrow_io
 
-            data = arrow_io.frame_of(self.spark, data)
+        if isinstance(data, pa.Table | arrow_io.Batches):
+            data = arrow_io.frame_of(self.spark, data) if isinstance(data, pa.Table) else data.df
         given = data if isinstance(data, DataFrame) else encode.from_values(self.spark, self.spec, data)
         ready = encode.incoming(self.spec, given)
         part = f"data/{uuid.uuid4().hex}"

@@ -56,5 +56,18 @@ def test_against_sql(spark, name):
     assert sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str) == sorted((tuple(r[k] for k in order) for r in want.fetchall()), key=str)
 
 
+@pytest.mark.parametrize("name", ["arrow_round_trip", "selection_to_arrow", "large_lists"])
+def test_arrow_stays_with_executors(spark, name, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def refused(self):
+        raise AssertionError("a whole table goes to the driver")
+
+    with monkeypatch.context() as m:
+        for how in ("toArrow", "toPandas"):
+            m.setattr(DataFrame, how, refused)
+        test_against_sql(spark, name)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0

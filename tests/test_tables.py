@@ -301,6 +301,55 @@ def test_arrow_round_trip(spark, tmp_path):
     assert t["s"].to_arrow(slice(None, None, -1)).to_pylist() == ["long", None, "é"]
 
 
+def test_arrow_batches(spark, tmp_path):
+    """Batches on the executors are those of to_arrow, and come back as the same table, in order."""
+    n = 500
+    some = lambda k, x: None if k % 7 == 3 else x
+    fields = {
+        **{f"n_{kind}": pa.array([some(k, k % 100) for k in range(n)], getattr(pa, kind)()) for kind in ("int8", "int64", "uint16", "uint64", "float32")},
+        "h": pa.array(np.arange(n, dtype="float16")), "b": pa.array([k % 3 == 0 for k in range(n)]), "s": pa.array([some(k, "é" * (k % 11)) for k in range(n)], pa.large_string()), "o": pa.array([some(k, k.to_bytes(8, "big")) for k in range(n)], pa.binary(8)),
+        "cat": pa.DictionaryArray.from_arrays(pa.array([some(k, k % 2) for k in range(n)], pa.int8()), pa.array(["p", "q", "never"], pa.large_string())), "ord": pa.DictionaryArray.from_arrays(pa.array([k % 2 for k in range(n)], pa.int32()), pa.array([10, 20]), ordered=True),
+        "lo": pa.array([some(k, [b"1234", None]) for k in range(n)], pa.large_list(pa.binary(4))), "ls": pa.array([["a", None] if k == 499 else [] for k in range(n)], pa.large_list(pa.large_string())),
+        "lb": pa.array([[True] * (k % 2) for k in range(n)], pa.large_list(pa.bool_())), "ll": pa.array([[[k], None] if k == 1 else [[]] for k in range(n)], pa.large_list(pa.large_list(pa.int64()))), "ln": pa.array([[float("nan"), None] if k == 498 else [k] for k in range(n)], pa.large_list(pa.float64())),
+    }
+    table = pa.table(fields)
+    table = table.set_column(0, table.schema.field(0).with_metadata({"granary.units": "degC", "mine": "x"}), table.column(0))
+    spread = Table.from_arrow(spark, str(tmp_path / "a"), table)
+    for k in range(3):  # parts, so that there are several partitions
+        spread.append(table)
+    whole, out = spread.to_arrow(), spread.to_arrow_batches()
+    assert out.schema.equals(whole.schema, check_metadata=True) and out.column_names == whole.column_names
+    given = [ColumnSpec("n_int64", "int64", fill_value=-5)]
+    for specs in (None, given):  # as text, for fills of NaN
+        assert str(arrow_io.prepared(out.digest(specs), specs)) == str(arrow_io.prepared(whole, specs)) and out.digest(specs).num_rows < 50
+    again = Table.from_arrow(spark, str(tmp_path / "b"), out)
+    assert again.to_arrow().schema.equals(whole.schema, check_metadata=True) and str(again.to_arrow().to_pylist()) == str(whole.to_pylist())
+    assert again.append(spread.to_arrow_batches(where=field("cat") == "never")) == 0 and again.append(spread.to_arrow_batches(where=field("cat") == "q")) == spread.count(field("cat") == "q") > 0
+    assert str(out.df.collect()) == str(arrow_io.frame_of(spark, whole).collect())
+    none = Table.from_arrow(spark, str(tmp_path / "c"), spread.to_arrow_batches(where=field("cat") == "never"))
+    assert none.nrows == 0 and none.specs["cat"].categories == ["p", "q", "never"] and none.to_arrow().num_rows == 0
+
+
+def test_arrow_batches_refusals(spark, where):
+    """What from_arrow refuses, whichever partition it is in; codes without labels."""
+    rows = spark.range(0, 400, 1, 4).selectExpr("id p", "IF(id = 399, -127, 3) v", "CAST(IF(id = 399, 7, 0) AS byte) cat", "IF(id = 399, 'wide', 'w') s")
+    out = over(rows, [ColumnSpec("v", "int8", fill_value=-128)], "p").to_arrow_batches()
+    with pytest.raises(SchemaError, match="-128 is free"):
+        Table.from_arrow(spark, where, out)
+    with pytest.raises(SchemaError, match="its fill 3 as a value"):
+        Table.from_arrow(spark, where, out, [ColumnSpec("v", "int8", fill_value=3)])
+    with pytest.raises(SchemaError):
+        Table.from_arrow(spark, where, out, [ColumnSpec("w", "int8")])
+    t = Table.from_arrow(spark, where, out, [ColumnSpec("v", "int8", fill_value=-128)])
+    assert t["v"].read().tolist() == [3] * 399 + [-127]
+    assert Table.from_arrow(spark, f"{where}s", over(rows, [ColumnSpec("s", FixedString(9))], "p").to_arrow_batches()).specs["s"].dtype == FixedString(4)
+    from granary.sources.frame import Reader
+
+    broken = Reader(spark, TableSpec([ColumnSpec("cat", None, categories=["a"])]), rows.select(F.col("p").alias("__pos"), "cat"))
+    with pytest.raises(ConformanceError, match="column 'cat' has codes without labels"):
+        Table.from_arrow(spark, f"{where}c", broken.to_arrow_batches())
+
+
 def test_arrow_refusals(spark, where):
     import datetime as dt
     import decimal
